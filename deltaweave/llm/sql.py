@@ -27,6 +27,25 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.m, d.doc_id) AS comp
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.k = d.doc_id
 """
 
+BLANK = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+OP5 = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), k AS (
+  SELECT *, {LOWER.format(f"trim(line, {BLANK})")} AS key FROM l
+), f AS (
+  SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), m AS (
+  SELECT k.*, f.owner IS NULL OR f.owner = doc_id AS stays FROM k LEFT JOIN f USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 ORACLES = {
     "op1_minhash_dedup": OP1,
+    "op5_line_dedup": OP5,
 }
