@@ -62,6 +62,18 @@ def bucketed(column: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def rank_among(column: Column, edges: list[float]) -> Column:
+    """How many of the sorted ``edges`` are not above the value, by halving; 0 for null."""
+    rank = F.lit(0)
+    if edges:
+        array = F.array(*[F.lit(float(x)) for x in edges])
+        step = 1 << (len(edges).bit_length() - 1)
+        while step:
+            rank = F.when((rank + step <= len(edges)) & (F.get(array, rank + (step - 1)) <= column), rank + step).otherwise(rank)
+            step >>= 1
+    return rank.cast("int")
+
+
 def _facts(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first())
 

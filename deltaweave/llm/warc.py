@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .plan import table
+from .plan import rank_among, table
 
 #: Headers of a 304 that replace the stored ones; all others of the 304 are ignored.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary", "warning")
@@ -66,19 +66,8 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
     ).dropDuplicates(["record_id"])
     splits = slim.where("at is not null").approxQuantile("at", [k / periods for k in range(1, periods)], 0.5 / periods)
     edges = sorted(set(splits))
-    # the number of edges below the time, by halving the sorted array
-    period = F.lit(0)
-    if edges:
-        array = F.array(*[F.lit(x) for x in edges])
-        period = F.lit(0)
-        step = 1 << (len(edges).bit_length() - 1)
-        while step:
-            period = F.when(
-                (period + step <= len(edges)) & (F.get(array, period + (step - 1)) <= F.col("at")), period + step
-            ).otherwise(period)
-            step >>= 1
     usable = slim.where("at is not null and canonical_url is not null")
-    dealt = usable.select("*", period.cast("int").alias("period"))
+    dealt = usable.select("*", rank_among(F.col("at"), edges).alias("period"))
     found = F.struct("at", "record_id", "etag", "modified")
     response = F.when(~F.col("is_revisit"), found)
     so_far = Window.partitionBy("canonical_url", "period").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
