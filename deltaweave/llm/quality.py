@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .plan import bucketed, cut, table
+from .plan import bucketed, table
 from .text import Words, shingle_hashes, slices
 
 SLICE = 1 << 20
@@ -191,41 +191,52 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-odds))
 
 
-def with_features(docs: DataFrame) -> DataFrame:
-    """doc_id, features (array<float>) of every document."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
+    """A model of label 1 from documents and rows (doc_id, label), on about ``sample`` of these at most.
+
+    The sampled ids, bounded by the parameter, are broadcast; only their texts are read for features.
+    """
+    usable = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("double").alias("label"))
+    n = usable.count()
+    if n > sample:
+        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 x = features(part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2)], ["doc_id", "features", "label"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features array<float>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = texts.join(F.broadcast(usable), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, features array<float>, label double").toArrow()
+    x = np.array(found.column("features").combine_chunks().flatten()).reshape(-1, len(FEATURES))
+    y = found.column("label").to_numpy()
+    order = np.lexsort((y, found.column("doc_id").to_numpy()))  # whatever order the tasks came in
+    return AdditiveModel().fit(x[order], y[order])
 
 
-def fit(featured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
-    """A model of label 1 from featured documents and rows (doc_id, label), on at most about ``sample`` of them."""
-    usable = labels.where("doc_id is not null and label in (0, 1)")
-    n = usable.count()
-    if n > sample:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    rows = featured.join(usable.select("doc_id", F.col("label").cast("double").alias("label")), "doc_id").select("doc_id", "features", "label").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    x = np.array(rows.column("features").combine_chunks().flatten()).reshape(-1, len(FEATURES))[order]
-    return AdditiveModel().fit(x, rows.column("label").to_numpy()[order])
+def scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
+    """doc_id and score of every document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=SLICE):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(features(part.column(1))))], ["doc_id", "score"])
 
-def scores(featured: DataFrame, model: AdditiveModel) -> DataFrame:
-    """doc_id and score of featured documents."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def keep_scored(docs: DataFrame, model: AdditiveModel, threshold: float) -> DataFrame:
+    """The documents with a score of at least ``threshold``; same columns, one pass, no join."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column(1).flatten()).reshape(batch.num_rows, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+            for part in slices(batch, limit=SLICE):
+                yield part.filter(pa.array(model.score(features(part.column(at))) >= threshold))
 
-    return featured.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def training_labels(spark, sf_dir: str) -> DataFrame:
@@ -238,8 +249,8 @@ def training_labels(spark, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    featured = cut(with_features(table(spark, sf_dir, "documents")))
-    model = fit(featured, training_labels(spark, sf_dir))
-    return scores(featured, model).select(
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, training_labels(spark, sf_dir))
+    return scores(docs, model).select(
         "doc_id", bucketed(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
