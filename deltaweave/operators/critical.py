@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.kernels import INFINITY, shortest_path
 from .fixpoint import run
 
-_dst = F.col("dst")
 
 
 def shortest_path_edges(edges: DataFrame, distances: DataFrame) -> DataFrame:
@@ -31,7 +30,8 @@ def widest_path_edges(edges: DataFrame, widths: DataFrame) -> DataFrame:
 def rebuild_distances(edges: DataFrame, critical: DataFrame, source: int) -> DataFrame:
     """Distances over the critical edges alone: equal to those over all edges."""
     only = edges.join(critical, ["src", "dst"], "left_semi")
-    return run(shortest_path(source), only).state.select("id", "value")
+    start = edges.sparkSession.range(source, source + 1)
+    return run(shortest_path(source), only, start).state.select("id", "value")
 
 
 def compare(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> DataFrame:
