@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import grouped
-from .plan import partitions, rank_among, table
+from .plan import partitions, table, with_rank
 from .text import Words, mix64
 
 SAMPLES = 128
@@ -99,7 +99,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     n = partitions(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     edges = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.25 / n)))
-    ranged = rows.withColumn("range", rank_among(F.col("doc_id"), edges))
+    ranged = with_rank(rows, F.col("doc_id"), edges, "range")
     firsts = ranged.groupBy("range").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     order = Window.orderBy("range")  # one row per range
     found = F.struct(F.when(F.col("nulls") == 0, F.col("doc_id")).alias("doc_id"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .plan import rank_among, table
+from .plan import table, with_rank
 
 #: Headers of a 304 that replace the stored ones; all others of the 304 are ignored.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary", "warning")
@@ -67,7 +67,7 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
     splits = slim.where("at is not null").approxQuantile("at", [k / periods for k in range(1, periods)], 0.5 / periods)
     edges = sorted(set(splits))
     usable = slim.where("at is not null and canonical_url is not null")
-    dealt = usable.select("*", rank_among(F.col("at"), edges).alias("period"))
+    dealt = with_rank(usable, F.col("at"), edges, "period")
     found = F.struct("at", "record_id", "etag", "modified")
     response = F.when(~F.col("is_revisit"), found)
     so_far = Window.partitionBy("canonical_url", "period").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
