@@ -9,8 +9,6 @@ from ..plans.lineage import cut, drop
 from ..types import CHANGE_TYPES, KernelSpec
 from .fixpoint import Result, Schedule, Stop, iterate, messages, prepare_edges, vertices_of
 
-INFINITY = float("inf")
-
 
 def latest_changes(changes: DataFrame) -> DataFrame:
     """The last change of every edge, by seq; an unknown type is an error when the plan runs."""
@@ -81,10 +79,9 @@ def repair_state(spec: KernelSpec, old_edges: DataFrame, new_edges: DataFrame, p
     known, _ = cut(
         seeds.join(prior.select("id", "value"), "id", "left").select("id", "seed", F.coalesce("value", F.lit(spec.identity)).alias("value"))
     )
-    same = lambda a, b: a.exceptAll(b)
     tight_old, _ = cut(_tight(spec, old_edges, known))
     tight_new, _ = cut(_tight(spec, new_edges, known))
-    lost = same(tight_old.select("src", "dst"), tight_new.select("src", "dst")).select(F.col("dst").alias("id"))
+    lost = tight_old.select("src", "dst").exceptAll(tight_new.select("src", "dst")).select(F.col("dst").alias("id"))
     suspects = _closure(lost, tight_old)
     supported_now = (
         suspects.join(known, "id").where("value = seed").select("id").union(
@@ -99,7 +96,7 @@ def repair_state(spec: KernelSpec, old_edges: DataFrame, new_edges: DataFrame, p
     supported = _closure(supported_now, inside)
     reset = suspects.join(supported, "id", "left_anti")
     best = F.least if spec.combine == "min" else F.greatest
-    changed = same(new_edges.select("src", "dst", "weight"), old_edges.select("src", "dst", "weight")).select("src", "dst")
+    changed = new_edges.select("src", "dst", "weight").exceptAll(old_edges.select("src", "dst", "weight")).select("src", "dst")
     to_reset = new_edges.join(reset.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
     senders = changed.union(to_reset).select(F.col("src").alias("id")).distinct()
     marked = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ def _reached(state: DataFrame) -> DataFrame:
 
 def scan_adjacency(spark, d):
     """Lists of a text graph: written, read back, and put together again."""
-    path = f"{scratch(spark)}/graph-{tempfile._get_candidate_names().__next__()}"
+    path = f"{scratch(spark)}/graph-{uuid.uuid4().hex}"
     edges = G.handoff(spark, d)
     text.write_graph(edges, P.vertices_of(edges), path)
     back, _ = text.read_graph(spark, path, weighted=True)
@@ -286,7 +286,7 @@ def partition_contract(spark, d):
 
 def snapshot_restore(spark, d):
     """Shortest paths stopped after two rounds, restored from the snapshot, and finished."""
-    folder = f"{scratch(spark)}/snapshots-{next(tempfile._get_candidate_names())}"
+    folder = f"{scratch(spark)}/snapshots-{uuid.uuid4().hex}"
     spec, edges = K.shortest_path(SOURCE), P.prepare_edges(K.shortest_path(SOURCE), G.handoff(spark, d))
     N.iterate_with_snapshots(spec, P.initial_state(spec, P.vertices_of(edges)), edges, folder, every=2, stop=P.Stop(max_rounds=2))
     state, _ = N.restore(spark, folder)
