@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +14,27 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 24 << 20
 
 
+def findable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package wherever the driver was started.
+
+    On other machines the package is installed or shipped, and the extra path does no harm.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    findable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many partitions to deal ``df`` to: by its size as Spark estimates it, without running it."""
     spark = df.sparkSession
+    findable(spark)
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     estimate = estimate if estimate < 1 << 62 else 0  # unknown
