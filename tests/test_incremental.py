@@ -46,7 +46,7 @@ def kept(old, new, plain, source=None):
     return plain(new + [x for x in loops]) if source is None else plain(new + loops, source)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_update_equals_recomputation(spark, seed):
     e = random_edges(seed, 20, 45)
     changes, new = batch(e, seed)
