@@ -55,9 +55,12 @@ def sample_words(words: np.ndarray, of: np.ndarray, weights: np.ndarray, samples
     full = np.flatnonzero(np.diff(of) > 0)
     if not len(full):
         return out
-    pairs, place = np.unique(np.stack([words, weights.astype(np.uint64)], axis=1).view([("w", np.uint64), ("n", np.uint64)]).ravel(), return_inverse=True)
-    distinct, word_of = np.unique(pairs["w"], return_inverse=True)
-    log_weight = np.log(pairs["n"].astype(np.float32))
+    # each pair of a word and a weight once, each word once
+    _, first, place = np.unique(mix64(words + weights.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True, return_inverse=True)
+    pair_words = words[first]
+    distinct, word_of = np.unique(pair_words, return_inverse=True)
+    log_weight = np.log(weights[first].astype(np.float32))
+    starts = of[:-1][full]
     for k, salt in enumerate(_salts(samples).tolist()):
         u1, u2 = _pairs(distinct, salt[0])
         u3, u4 = _pairs(distinct, salt[1])
@@ -68,9 +71,9 @@ def sample_words(words: np.ndarray, of: np.ndarray, weights: np.ndarray, samples
         t = np.floor(log_weight / r + b)
         a = (log_c - r * (t - b) - r).astype(np.float32).view(np.uint32)
         a = np.where(a >> np.uint32(31), ~a, a | np.uint32(0x80000000))  # ordered as the floats are
-        code = mix64(pairs["w"] + (t.astype(np.int64).view(np.uint64) + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        code = mix64(pair_words + (t.astype(np.int64).view(np.uint64) + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
         key = (a.astype(np.uint64) << np.uint64(32)) | code
-        least = np.minimum.reduceat(key[place], of[:-1][full])
+        least = np.minimum.reduceat(key[place], starts)
         out[full, k] = (least & np.uint64(0xFFFF)).astype(np.uint16)
     return out
 
