@@ -5,8 +5,8 @@ alone and the weight is its quality. A source whose target is its size e times o
 complete epochs; the fraction that remains takes documents in the order of their keys, up to the
 prefix sum of sizes that is nearest to the budget.
 
-The prefix sums are taken in two levels, so no task holds a source: keys fall into buckets by their
-rank-like value ``1 - exp(-key)``, bucket totals are summed within a source, and documents within a
+The prefix sums are taken in two levels, so no task holds a source: keys fall into buckets by
+``key / (key + 1)``, bucket totals are summed within a source, and documents within a
 bucket. The number of buckets grows with the number of documents.
 
 Defined results: a null text has size 0 and takes no words; null sources are one source, last in
@@ -118,7 +118,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, s
         .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     )
     buckets = max(256, -(-rows.count() // BUCKET_ROWS))
-    keyed = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") / 2)) * buckets).cast("long"))
+    # rows of size 0 change no sum, so they go anywhere
+    spread = F.when(F.col("size") > 0, F.col("key") / (F.col("key") + 1)).otherwise(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 20)) / float(1 << 20))
+    keyed = rows.withColumn("bucket", F.floor(spread * buckets).cast("long"))
     by_bucket = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).select(
