@@ -21,6 +21,8 @@ from ..plans.lineage import cut, drop
 from ..types import KernelSpec
 
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
+#: Rounds after which an accumulative program without a limit of its own counts as one that does not settle.
+ROUNDS = 200
 
 
 @dataclass
@@ -36,11 +38,14 @@ class Schedule:
 class Stop:
     """When the loop ends. Selective programs end when nothing is pending. Accumulative ones end when the
     absolute deltas sum to ``epsilon`` at most ('delta'), when the sum of values moves by no more
-    ('diff'), or when it reaches ``epsilon`` ('sum'); and all after ``max_rounds``."""
+    ('diff'), or when it reaches ``epsilon`` ('sum'). With ``max_rounds`` all end after so many, settled or
+    not. Without, a result is always settled: selective programs need no more rounds than there are
+    vertices, unless a cycle improves itself (an error), and accumulative ones that are not settled
+    after ``ROUNDS`` are an error."""
 
     rule: str = "delta"
     epsilon: float = 1e-9
-    max_rounds: int = 200
+    max_rounds: int | None = None
 
 
 @dataclass
@@ -141,19 +146,41 @@ def _settled(spec: KernelSpec, stop: Stop, now: dict, before: dict | None) -> bo
     raise ValueError(f"no rule {stop.rule!r}")
 
 
+def most_rounds(spec: KernelSpec, stop: Stop, vertices: int) -> int:
+    """Rounds after which a program ends in any case. A selective one is at its fixpoint after as many as there are
+    vertices when all pending ones work; with a schedule these come after as many scheduled ones."""
+    if stop.max_rounds is not None:
+        return stop.max_rounds
+    return 2 * vertices + 1 if spec.selective else ROUNDS
+
+
+def schedule_at(schedule: Schedule, stop: Stop, rounds: int, vertices: int) -> Schedule:
+    """The schedule of the next round: all pending vertices once a run without a limit has had a round per vertex."""
+    return Schedule() if stop.max_rounds is None and rounds > vertices else schedule
+
+
+def finished(spec: KernelSpec, stop: Stop, result: Result) -> Result:
+    """The result; an error if it is not settled and no ``max_rounds`` asked for that."""
+    if not result.settled and stop.max_rounds is None:
+        why = "a cycle improves itself" if spec.selective else "give max_rounds to a program that does not converge"
+        raise RuntimeError(f"{spec.name} did not settle in {result.rounds} rounds: {why}")
+    return result
+
+
 def iterate(spec: KernelSpec, state: DataFrame, edges: DataFrame, schedule: Schedule | None = None, stop: Stop | None = None) -> Result:
     """Run supersteps from a given state (id, delta, value) over prepared edges."""
     schedule, stop = schedule or Schedule(), stop or Stop()
     report = term_report(spec)
     now, facts = cut(state.select("id", F.col("delta").cast("double").alias("delta"), F.col("value").cast("double").alias("value")), **report)
     history, before, rounds = [dict(facts, round=0)], None, 0
-    while not (settled := _settled(spec, stop, facts, before)) and rounds < stop.max_rounds:
-        following, found = cut(superstep(spec, now, edges, schedule, facts["rows"]), **report)
+    most = most_rounds(spec, stop, facts["rows"])
+    while not (settled := _settled(spec, stop, facts, before)) and rounds < most:
+        following, found = cut(superstep(spec, now, edges, schedule_at(schedule, stop, rounds, facts["rows"]), facts["rows"]), **report)
         drop(now)
         now, before, facts = following, facts, found
         rounds += 1
         history.append(dict(facts, round=rounds))
-    return Result(now, rounds, settled, history)
+    return finished(spec, stop, Result(now, rounds, settled, history))
 
 
 def run(

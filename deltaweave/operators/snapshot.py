@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..types import KernelSpec
-from .fixpoint import Result, Schedule, Stop, iterate
+from .fixpoint import Result, Schedule, Stop, finished, iterate, most_rounds, schedule_at
 
 
 def _fs(spark: SparkSession, path: str):
@@ -55,13 +55,14 @@ def iterate_with_snapshots(
     spec: KernelSpec, state: DataFrame, edges: DataFrame, folder: str, every: int = 5, schedule: Schedule | None = None, stop: Stop | None = None, epoch: int = 0
 ) -> Result:
     """As `iterate`, saving the state after every ``every`` rounds and at the end."""
-    stop = stop or Stop()
-    left, rounds, history = stop.max_rounds, 0, []
+    schedule, stop = schedule or Schedule(), stop or Stop()
+    vertices = state.count()
+    left, rounds, history = most_rounds(spec, stop, vertices), 0, []
     while True:
-        part = iterate(spec, state, edges, schedule, Stop(stop.rule, stop.epsilon, min(every, left)))
+        part = iterate(spec, state, edges, schedule_at(schedule, stop, rounds, vertices), Stop(stop.rule, stop.epsilon, min(every, left)))
         rounds, left = rounds + part.rounds, left - part.rounds
         history += [m | {"round": m["round"] + rounds - part.rounds} for m in part.metrics[bool(history) :]]
         save(part.state, folder, epoch := epoch + 1)
         state = part.state
         if part.settled or left <= 0:
-            return Result(state, rounds, part.settled, history)
+            return finished(spec, stop, Result(state, rounds, part.settled, history))

@@ -124,6 +124,15 @@ def test_snapshots(spark, tmp_path):
         N.restore(spark, folder, 7)
 
 
+def test_snapshots_and_streams_to_the_end(spark, tmp_path):
+    chain, spec = frame(spark, [(k, k + 1, 1.0) for k in range(5)]), K.shortest_path(0)
+    edges = P.prepare_edges(spec, chain)
+    r = N.iterate_with_snapshots(spec, P.initial_state(spec, P.vertices_of(edges)), edges, f"file://{tmp_path}/snap", every=4)
+    assert r.settled and values(r.state)[5] == 5.0 and N.epochs(spark, f"file://{tmp_path}/snap") == [1, 2]
+    with pytest.raises(RuntimeError, match="not settled"):
+        EvolvingResult(spark, f"file://{tmp_path}/versions", spec, stop=P.Stop(max_rounds=2)).start(chain)
+
+
 def test_stream_of_changes(spark, tmp_path):
     e = random_edges(9, 15, 30)
     first, middle = batch(e, 1)
