@@ -12,6 +12,8 @@ is spread over its periods. Payloads are joined once, by the id of the response
 Defined results: a record without a time or URL resolves nothing and is not resolved; of responses
 at the same time the one with the larger record_id counts; a response at the very time of a revisit
 is earlier if its record_id is smaller; rows that repeat a record_id count once; header maps may be null.
+Rows without a record_id are never repeats: each such revisit gives a row, and such responses are found like others, as if
+their id were smaller than all (of several at the same time, one by their validators and a digest of what they hold).
 """
 
 from __future__ import annotations
@@ -47,6 +49,16 @@ def _clean_etag(tag: Column) -> Column:
     return F.regexp_replace(tag, r"^W/", "")
 
 
+def _digest() -> Column:
+    """What a response without an id holds, in place of the id."""
+    headers = F.to_json(F.array_sort(F.map_entries("headers")))
+    return F.sha2(F.to_json(F.struct("url", F.unix_micros("captured").alias("at"), headers.alias("headers"), "payload")).cast("binary"), 256)
+
+
+def _key(record_id: str, digest: Column | str) -> Column:
+    return F.coalesce(F.col(record_id).cast("string"), F.col(digest) if isinstance(digest, str) else digest)
+
+
 def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
     """For every revisit: record_id, canonical_url, response_id, outcome, headers, payload.
 
@@ -55,22 +67,29 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
     'etag mismatch', 'last-modified mismatch' or 'no earlier response'; only resolved revisits get headers and
     payload. An entity tag decides where both have one, else the last-modified time, else none is needed.
     """
-    slim = records.where(F.col("record_type").isin("response", "revisit")).select(
-        "record_id",
-        (F.col("record_type") == "revisit").alias("is_revisit"),
-        canonical_url(F.col("url")).alias("canonical_url"),
-        F.unix_micros("captured").alias("at"),
-        _clean_etag(F.element_at("headers", "etag")).alias("etag"),
-        F.element_at("headers", "last-modified").alias("modified"),
-        F.when(F.col("record_type") == "revisit", F.col("headers")).alias("fresh"),
-    ).dropDuplicates(["record_id"])
+    no_id = F.col("record_id").isNull()
+    slim = (
+        records.where(F.col("record_type").isin("response", "revisit"))
+        .select(
+            "record_id",
+            (F.col("record_type") == "revisit").alias("is_revisit"),
+            canonical_url(F.col("url")).alias("canonical_url"),
+            F.unix_micros("captured").alias("at"),
+            _clean_etag(F.element_at("headers", "etag")).alias("etag"),
+            F.element_at("headers", "last-modified").alias("modified"),
+            F.when(F.col("record_type") == "revisit", F.col("headers")).alias("fresh"),
+            F.when(no_id & (F.col("record_type") == "response"), _digest()).alias("digest"),
+            F.when(no_id, F.monotonically_increasing_id()).alias("nth"),  # keeps rows without an id apart, and spreads them
+        )
+        .dropDuplicates(["record_id", "nth"])
+    )
     splits = slim.where("at is not null").approxQuantile("at", [k / periods for k in range(1, periods)], 0.5 / periods)
     edges = sorted(set(splits))
     usable = slim.where("at is not null and canonical_url is not null")
     dealt = with_rank(usable, F.col("at"), edges, "period")
-    found = F.struct("at", "record_id", "etag", "modified")
+    found = F.struct("at", "record_id", "etag", "modified", "digest")
     response = F.when(~F.col("is_revisit"), found)
-    so_far = Window.partitionBy("canonical_url", "period").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("canonical_url", "period").orderBy("at", "record_id", "is_revisit", "etag", "modified", "digest").rowsBetween(Window.unboundedPreceding, -1)
     near = dealt.select("record_id", "is_revisit", "canonical_url", "etag", "modified", "period", "fresh", F.last(response, ignorenulls=True).over(so_far).alias("near")).where(
         "is_revisit"
     )
@@ -88,13 +107,18 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
         )
         .otherwise("resolved")
     )
-    matched = joined.select("record_id", "canonical_url", F.col("response.record_id").alias("response_id"), outcome.alias("outcome"), "fresh")
+    matched = joined.select("record_id", "canonical_url", F.col("response.record_id").alias("response_id"), outcome.alias("outcome"), "fresh", _key("response.record_id", "response.digest").alias("key"))
     missing = slim.where("is_revisit and (at is null or canonical_url is null)").select(
-        "record_id", "canonical_url", F.lit(None).cast("long").alias("response_id"), F.lit("no earlier response").alias("outcome"), "fresh"
+        "record_id",
+        "canonical_url",
+        F.lit(None).cast("long").alias("response_id"),
+        F.lit("no earlier response").alias("outcome"),
+        F.lit(None).cast("map<string,string>").alias("headers"),
+        F.lit(None).cast("string").alias("payload"),
     )
     answers = (
         records.where("record_type = 'response'")
-        .groupBy(F.col("record_id").alias("response_id"))
+        .groupBy(_key("record_id", F.when(no_id, _digest())).alias("key"))
         .agg(F.first("headers").alias("stored"), F.first("payload").alias("payload"))
     )
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
@@ -103,9 +127,9 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
     merged = F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(permitted, k)), permitted)
     good = F.col("outcome") == "resolved"
     return (
-        matched.unionByName(missing)
-        .join(answers, "response_id", "left")
+        matched.join(answers, "key", "left")
         .select("record_id", "canonical_url", "response_id", "outcome", F.when(good, merged).alias("headers"), F.when(good, F.col("payload")).alias("payload"))
+        .unionByName(missing)
     )
 
 
@@ -144,8 +168,14 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def op10_warc_revisits(spark, sf_dir: str) -> DataFrame:
-    """Every revisit of the records made from ``pages``, with digests of what it resolves to."""
-    out = resolve_revisits(records_of_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    """Every revisit of the records made from ``pages``, with digests of what it resolves to.
+
+    Pages without a page_id, whose records have neither id nor time, count once for each canonical URL and html.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    unnumbered = pages.where("page_id is null").withColumns({"_url": canonical_url(F.col("url")), "_tag": F.md5(F.coalesce("html", F.lit("")).cast("binary"))})
+    once = unnumbered.dropDuplicates(["_url", "_tag"]).select(*pages.columns)
+    out = resolve_revisits(records_of_pages(pages.where("page_id is not null").unionByName(once)))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit(": "), e.value)), "\n")
     return out.select(
         "record_id", "canonical_url", "response_id", "outcome", text.alias("headers"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256")

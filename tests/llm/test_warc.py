@@ -55,3 +55,48 @@ def test_empty_table(spark):
     assert run(spark, []) == {}
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.resolve_revisits(warc.records_of_pages(pages)).collect() == []
+
+
+def test_records_without_an_id(spark):
+    url = "http://a.com/x"
+    rows = [
+        (None, "response", url, at(0), {"etag": '"1"'}, "one"),
+        (None, "response", url, at(10), {"etag": '"2"'}, "two"),
+        (None, "response", "http://b.com/", None, {}, "no time"),
+        (None, "revisit", url, at(5), {"etag": '"1"'}, None),
+        (None, "revisit", url, at(5), {"etag": '"1"'}, None),
+        (None, "revisit", url, at(10), {"etag": '"2"'}, None),
+        (None, "revisit", "http://b.com/", None, {}, None),
+        (None, "revisit", None, at(5), {}, None),
+        (7, "revisit", url, at(11), {}, None),
+        (7, "revisit", url, at(11), {}, None),
+        (8, "response", url, at(12), {}, "eight"),
+        (None, "revisit", url, at(13), {}, None),
+    ]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    for periods in (2, 4):
+        got = warc.resolve_revisits(df, periods=periods).collect()
+        assert sorted((str(r.record_id), str(r.canonical_url), str(r.response_id), r.outcome, str(r.payload)) for r in got) == [
+            ("7", "a.com/x", "None", "resolved", "two"),
+            ("None", "None", "None", "no earlier response", "None"),
+            ("None", "a.com/x", "8", "resolved", "eight"),
+            ("None", "a.com/x", "None", "resolved", "one"),
+            ("None", "a.com/x", "None", "resolved", "one"),
+            ("None", "a.com/x", "None", "resolved", "two"),
+            ("None", "b.com", "None", "no earlier response", "None"),
+        ]
+
+
+def test_query_with_pages_without_an_id_against_sql(spark, tmp_path):
+    import duckdb
+
+    from deltaweave.llm.sql import OP10
+
+    pages = [(k, f"http://h{k % 3}.com/p", f"<p>{k % 4}</p>") for k in range(1, 30)]
+    pages += [(None, f"http://h{k % 3}.com/p", f"<p>{k % 2}</p>") for k in range(12)] + [(None, None, None), (None, None, "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(OP10).fetchall()
+    got = warc.op10_warc_revisits(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(got) == 29 + 7
