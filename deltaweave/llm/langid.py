@@ -32,7 +32,7 @@ def _folds() -> tuple[np.ndarray, np.ndarray]:
     if not _tables:
         n = 0x110000
         lower, letter = np.arange(n, dtype=np.uint32), np.zeros(n, bool)
-        for p in range(0x30000):
+        for p in range(n):
             c = chr(p)
             if c.isalpha():
                 letter[p] = True

@@ -50,6 +50,13 @@ def test_lm_score_by_hand(spark):
     assert math.isclose(got[50].score, want, abs_tol=1e-9)
 
 
+def test_letters_of_all_planes():
+    text = "".join(map(chr, range(0x30000, 0x30010)))
+    grams, of, has_letter = langid.ngrams(__import__("pyarrow").array([text, chr(0x31350), chr(0x10FFFF)]), langid.BUCKETS, langid.LONGEST)
+    assert has_letter.tolist() == [True, True, False]
+    assert len(set(grams[: of[1]].tolist()) - {0}) > 40
+
+
 def languages(rng):
     rows = []
     for i in range(200):
