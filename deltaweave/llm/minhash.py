@@ -13,7 +13,7 @@
    exactly (a blocked sparse product gives all intersection sizes); again only a spanning
    forest of the confirmed links leaves the task.
 
-A pair at the similarity threshold misses the match threshold with a probability of about 1e-6
+A pair at the similarity threshold misses the match threshold with a probability of about 4e-6
 at the defaults (64 coordinates, 36 matches, 0.8), and pairs above it with less.
 
 Defined results: null or blank texts have no shingles and are linked with nothing; a row with a
