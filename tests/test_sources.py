@@ -94,3 +94,15 @@ def test_generated_changes(spark):
     on = some.join(critical, ["src", "dst"]).count()
     assert 0.3 * critical.count() < on < 0.7 * critical.count()
     assert some.where("type = 'A'").join(critical, ["src", "dst"]).count() == 0
+
+
+def test_additions_to_a_dense_graph(spark):
+    g = spark.range(40).selectExpr("id AS src").crossJoin(spark.range(20).selectExpr("id AS dst")).where("src <> dst").withColumn("weight", F.lit(1.0))
+    c = G.random_changes(g, 0.3, {"A": 1.0, "R": 0.0, "I": 0.0, "D": 0.0}, 40, seed=2)
+    drawn = G._drawn(g, {"A": F.lit(0.3), "R": F.lit(0.0), "I": F.lit(0.0), "D": F.lit(0.0)}, 2).count()
+    assert c.count() > 0.98 * drawn > 200
+    assert c.select("src", "dst").distinct().count() == c.count() and c.where("src = dst").count() == 0
+    assert c.join(g, ["src", "dst"], "left_semi").count() == 0
+    assert rows(c, "src", "dst", "weight") == rows(G.random_changes(g.repartition(5), 0.3, {"A": 1.0, "R": 0.0, "I": 0.0, "D": 0.0}, 40, seed=2), "src", "dst", "weight")
+    whole = spark.range(9).selectExpr("id AS src").crossJoin(spark.range(9).selectExpr("id AS dst")).withColumn("weight", F.lit(1.0))
+    assert G.random_changes(whole, 1.0, {"A": 1.0, "R": 0.0, "I": 0.0, "D": 0.0}, 9).count() == 0
