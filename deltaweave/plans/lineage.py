@@ -9,12 +9,19 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a folder of our own where it is unset."""
+    """This application's folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that is unset, a local master (as in tests) gets a temporary folder; a cluster has no folder that all
+    its machines see unless told, so that is an error.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder}/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -32,10 +39,19 @@ def cut(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     return out, found
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files behind a table that ``cut`` made and nothing reads any more."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        spark = df.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files behind tables that ``cut`` made and nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables of this application: results that were returned but not written read from some of them."""
+    _delete(spark, scratch(spark))
