@@ -1,24 +1,32 @@
 """Near-duplicate documents by MinHash and a signature-coordinate inverted join.
 
 1. One pass over the texts makes, per document, its distinct word shingles (64-bit hashes), a
-   128-bit key of the whole set and a signature of ``coordinates`` minima.
+   128-bit key of the whole set and one token per signature coordinate: 64 mixed bits of the
+   coordinate and its minimum.
 2. Documents with equal sets are one class; only its smallest id goes on.
-3. Each class is posted under its (coordinate, value) pairs. A pair of classes that agrees in
-   ``match`` coordinates or more must agree in one of the ``coordinates - match + 1`` rarest of
-   either (prefix), so only these are joined; pairs found once are dropped before any join.
-4. Each posting list is merged in a task that counts the collisions of whole signatures,
-   skipping pairs that earlier lists have put together already. Long lists are dealt out as pairs
-   of chunks. What remains of a list are links of a spanning forest, never all pairs.
-5. Groups so linked get their full shingle sets once, and every pair in a group is confirmed
-   exactly (a blocked sparse product gives all intersection sizes); again only a spanning
-   forest of the confirmed links leaves the task.
+3. Each class is posted under its tokens. A pair of classes that agrees in ``match`` coordinates
+   or more must agree in one of the ``coordinates - match + 1`` rarest of either (prefix), so only
+   these are joined; tokens of one class alone are dropped before any join.
+4. Posting lists are merged: a task counts the collisions of the members' signatures and keeps the
+   pairs with ``match`` or more, skipping members that are together already. What remains of a list are links of a
+   spanning forest, never all pairs. A long list is cut into chunks that each get some members of
+   the list as pivots besides; only members that these leave apart from the list's largest group meet the
+   rest of the list, chunk by chunk.
+5. The members of linked groups are shingled once more, into a table of sets, and links are confirmed
+   exactly: a blocked sparse product gives all intersection sizes of a group; a spanning forest of the
+   confirmed links leaves the task. In a large group a member whose shingles are mostly its own can have no
+   link at all (an exact bound) and is left out; the rest is cut into chunks with the members that have the fewest shingles
+   of their own as pivots; only members that are still apart from the largest class meet the others.
+
+So rows grow with the members of a list or group, except for members that stay apart from its largest
+class although they share most of their shingles with others: these are compared with all.
 
 A pair at the similarity threshold misses the match threshold with a probability of about 4e-6
 at the defaults (64 coordinates, 36 matches, 0.8), and pairs above it with less.
 
 Defined results: null or blank texts have no shingles and are linked with nothing; a row with a
-null ``doc_id`` keeps a null component and is kept; repeated rows give repeated results;
-columns other than ``doc_id`` and ``text`` are ignored.
+null ``doc_id`` keeps a null component and is kept; repeated rows give repeated results; rows of one ``doc_id`` with
+different texts are one document that has the links of all; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +36,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .plan import components, cut, drop, partitions, table
-from .text import shingle_sets, slices
+from ..plans import lineage
+from .plan import components, cut, drop, partitions, table, with_hot_keys
+from .text import mix64, shingle_sets, slices
 
 COORDINATES, MATCH = 64, 36
-#: Members of a posting list that one task compares at a time; shingles and members that one task confirms.
-LIST_CHUNK, SET_CHUNK, SET_MEMBERS = 2048, 2_000_000, 1024
+#: Members of a posting list that one task compares at a time, and the pivots that every chunk of a longer list gets.
+LIST_CHUNK, LIST_PIVOTS = 2048, 128
+#: Shingles and members that one task confirms, and the pivots that every chunk of a larger group gets.
+SET_CHUNK, SET_MEMBERS, SET_PIVOTS = 2_000_000, 1024, 64
 
 
 def _multipliers(coordinates: int) -> np.ndarray:
@@ -45,38 +56,37 @@ def _multipliers(coordinates: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """For each coordinate the upper half of the smallest product over the set."""
+    """For each coordinate a token: the smallest product over the set, mixed with the coordinate.
+
+    Minima crowd near zero, so they are mixed before any of their bits are compared.
+    """
     least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         np.minimum(least, (shingles[None, at : at + 1024] * multipliers[:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return mix64(mix64(least) + np.arange(1, len(least) + 1, dtype=np.uint64))
 
 
 def sketch(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key (k1, k2) of the set, and its signature (null without shingles)."""
+    """doc_id, n_shingles, a 128-bit key (k1, k2) of the set, and its tokens (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(coordinates)
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for s in shingle_sets(part.column(1), width):
-                    key = xxhash.xxh3_128_digest(s.tobytes())
-                    rows.append((len(s), key[:8], key[8:], signature(s, multipliers).tobytes() if len(s) else None))
-                n, k1, k2, sig = zip(*rows, strict=True)
+                sets = shingle_sets(part.column(1), width)
+                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+                n = np.array([len(s) for s in sets])
+                tokens = [signature(s, multipliers).view(np.int64) for s in sets if len(s)]
+                flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
+                cuts = np.concatenate(([0], np.cumsum(np.where(n > 0, coordinates, 0))))
+                offsets = pa.array(cuts.astype(np.int32), mask=np.append(n == 0, False))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(n, pa.int64()),
-                        pa.array(np.frombuffer(b"".join(k1), np.int64)),
-                        pa.array(np.frombuffer(b"".join(k2), np.int64)),
-                        pa.array(sig, pa.binary()),
-                    ],
-                    ["doc_id", "n_shingles", "k1", "k2", "sig"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(offsets, flat)],
+                    ["doc_id", "n_shingles", "k1", "k2", "tokens"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary"
+        run, "doc_id long, n_shingles long, k1 long, k2 long, tokens array<long>"
     )
 
 
@@ -179,140 +189,216 @@ def _confirm(ids: np.ndarray, sets: list[np.ndarray], percent: int, forest: Fore
         forest.join(int(ids[order[i]]), int(ids[order[j]]))
 
 
-def _chunk_pairs(df: DataFrame, keys: list[str], chunks: str) -> DataFrame:
-    """Deal the rows of a key out to all pairs (i <= j) of its chunks; one chunk stays one group."""
-    own = F.pmod(F.xxhash64("rep"), F.col(chunks)).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col(chunks) - 1),
-        lambda c: F.struct(F.least(c, F.col("_own")).alias("i"), F.greatest(c, F.col("_own")).alias("j")),
+def _with_pivots(members: DataFrame, pivots: DataFrame, chunks: str) -> DataFrame:
+    """Members in one of their key's ``chunks``, by a hash of the id; pivots in every chunk. Column ``chunk``."""
+    mine = F.pmod(F.xxhash64("rep"), F.col(chunks)).cast("int")
+    own = members.withColumn("chunk", mine)
+    every = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))).where(F.col("chunk") != mine)
+    return own.unionByName(every.select(own.columns))
+
+
+def _apart(members: DataFrame, key: str, chunk: int) -> DataFrame:
+    """Members (with ``component``) of keys that still have several components, dealt so that each one outside
+    its key's largest component meets all members of the key: column ``chunk`` numbers pairs of chunks."""
+    by = members.groupBy(key, "component").agg(F.count("*").alias("n"))
+    state = (
+        by.groupBy(key)
+        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        .where("most < all")
+        .select(key, "main", F.ceil(F.col("all") / chunk).cast("int").alias("ca"), F.ceil((F.col("all") - F.col("most")) / chunk).cast("int").alias("co"))
     )
-    return df.withColumn("_own", own).select(*keys, F.explode(pairs).alias("_p"), *[c for c in df.columns if c not in keys]).select(
-        *keys, F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), *[c for c in df.columns if c not in [*keys, chunks]]
+    open_ = members.join(state, key)
+    column, row = (F.pmod(F.xxhash64("rep"), F.col(n)).cast("int") for n in ("ca", "co"))
+    everyone = F.transform(F.sequence(F.lit(0), F.col("co") - 1), lambda i: i * F.col("ca") + column)
+    across = F.transform(F.filter(F.sequence(F.lit(0), F.col("ca") - 1), lambda j: j != column), lambda j: row * F.col("ca") + j)
+    return open_.withColumn("chunk", F.explode(everyone)).unionByName(open_.where("component <> main").withColumn("chunk", F.explode(across))).drop(
+        "main", "ca", "co"
     )
 
 
-def candidate_groups(classes: DataFrame, coordinates: int = COORDINATES, match: int = MATCH) -> DataFrame:
+def candidate_groups(classes: DataFrame, total: int, coordinates: int = COORDINATES, match: int = MATCH) -> DataFrame:
     """(id, component): groups of classes chained by signatures that agree in ``match`` coordinates.
 
-    ``classes`` has rep (the class) and sig.
+    ``classes`` has rep (the class) and tokens, ``total`` rows of them.
     """
     prefix = coordinates - match + 1
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seat = (np.arange(coordinates, dtype=np.uint64) << np.uint64(32))[None, :]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(part.num_rows, coordinates)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(part.column(0).to_numpy(), coordinates)),
-                        pa.array((sig | seat).reshape(-1).astype(np.int64)),
-                    ],
-                    ["rep", "token"],
-                )
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for group in grouped(batches, 3):
+        for group in grouped(batches, 2):
             if group.num_rows > 1:
-                sig = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint32).reshape(group.num_rows, coordinates)
-                _merge_list(group.column(3).to_numpy(), sig, match, forest)
+                sig = np.array(group.column("sig").combine_chunks().flatten()).reshape(group.num_rows, coordinates)
+                _merge_list(group.column(2).to_numpy(), sig, match, forest)  # the rep, or the component it is in already
         yield forest.stars()
 
-    postings = classes.select("rep", "sig").mapInArrow(post, "rep long, token long")
+    postings = classes.select("rep", F.explode("tokens").alias("token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    mine = (
-        postings.join(shared, "token")
+    mine, facts = lineage.cut(
+        with_hot_keys(postings, shared, ["token"], "f", coordinates * total)
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("all"))
         # the tokens that no one else has come first, and find no one
         .withColumn("all", F.slice("all", 1, F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.size("all"))))
-        .where(F.size("all") > 0)
+        .where(F.size("all") > 0),
+        longest=F.max(F.array_max(F.transform("all", lambda t: t["f"]))),
     )
     lists = (
-        classes.select("rep", "sig")
+        classes.select("rep", F.transform("tokens", lambda x: F.shiftright(x, 32).cast("int")).alias("sig"))
         .join(mine, "rep")
         .select("rep", "sig", F.explode("all").alias("t"))
-        .select(F.col("t.token").alias("token"), "rep", "sig", F.ceil(F.col("t.f") / LIST_CHUNK).cast("int").alias("chunks"))
+        .select(F.col("t.token").alias("token"), "rep", "sig", F.col("t.f").alias("f"))
     )
     n = partitions(classes)
-    links = (
-        _chunk_pairs(lists, ["token"], "chunks")
-        .repartition(n, "token", "i", "j")
-        .sortWithinPartitions("token", "i", "j", "rep")
-        .mapInArrow(merge, "a long, b long")
-    )
-    return components(links)
 
+    def merged(dealt: DataFrame, columns: list[str]) -> DataFrame:
+        return (
+            dealt.select("token", "chunk", *columns, "sig")
+            .repartition(n, "token", "chunk")
+            .sortWithinPartitions("token", "chunk", *columns)
+            .mapInArrow(merge, "a long, b long")
+        )
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked when ``100 * |intersection| >= percent * |union|`` of their sets of
-    ``width``-word shingles (lower-cased A-Z); component_id is the smallest id reachable.
-    """
-    sketches = cut(sketch(docs, width, coordinates))
-    filled = sketches.where("n_shingles > 0 and doc_id is not null")
-    class_of = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = cut(
-        filled.select(F.col("doc_id").alias("rep"), "n_shingles", "sig").join(class_of.select("rep"), "rep", "left_semi")
-    )
-    loose = candidate_groups(classes, coordinates, match)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longest = facts["longest"] or 0
+    if longest <= LIST_CHUNK:
+        out = components(merged(lists.withColumn("chunk", F.lit(0)), ["rep"]))
+        drop(mine)
+        return out
+    chunked = lists.withColumn("chunks", F.ceil(F.col("f") / LIST_CHUNK).cast("int")).drop("f")
+    first = Window.partitionBy("token").orderBy("rep")
+    pivots = chunked.where("chunks > 1").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= LIST_PIVOTS).drop("_nth")
+    once = components(merged(_with_pivots(chunked, pivots, "chunks"), ["rep"]))
+    long_ = chunked.where("chunks > 1").drop("chunks").join(once.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    more = merged(_apart(long_.withColumn("component", F.coalesce("component", "rep")), "token", LIST_CHUNK), ["component", "rep"])
+    out = components(once.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    drop(mine, once)
+    return out
+
+
+def confirmed_groups(docs: DataFrame, classes: DataFrame, loose: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, component): classes chained by exact similarity, within the groups of ``loose`` (id, component)."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [s.tobytes() for s in shingle_sets(part.column(part.schema.get_field_index("text")), width)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in range(4)), pa.array(found, pa.binary())], ["grp", "i", "j", "rep", "shingles"]
-                )
+                sets = shingle_sets(part.column(part.schema.get_field_index("text")), width)
+                cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], ["grp", "rep", "chunks", "shingles"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for group in grouped(batches, 3):
+        for group in grouped(batches, 2):
             if group.num_rows > 1:
-                _confirm(
-                    group.column(3).to_numpy(), [np.frombuffer(x, np.uint64) for x in group.column(4).to_pylist()], percent, forest
-                )
+                lists = group.column("shingles").combine_chunks()
+                flat, cuts = np.array(lists.flatten()), np.concatenate(([0], np.cumsum(np.array(lists.value_lengths()))))
+                _confirm(group.column("rep").to_numpy(), [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], percent, forest)
         yield forest.stars()
 
+    n = partitions(docs)
+
+    def checked(dealt: DataFrame) -> DataFrame:
+        return (
+            dealt.select("grp", "chunk", "rep", "shingles")
+            .repartition(n, "grp", "chunk")
+            .sortWithinPartitions("grp", "chunk", "rep")
+            .mapInArrow(confirm, "a long, b long")
+        )
+
     roots = loose.select(F.col("component").alias("id"), "component").distinct()
     members = loose.unionByName(roots).join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id")
-    sizes = members.groupBy("component").agg(
-        F.greatest(F.ceil(F.sum("n_shingles") / SET_CHUNK), F.ceil(F.count("*") / SET_MEMBERS)).cast("int").alias("chunks")
+    chunks = F.greatest(F.ceil(F.sum("n_shingles") / SET_CHUNK), F.ceil(F.count("*") / SET_MEMBERS)).cast("int")
+    sizes = members.groupBy("component").agg(chunks.alias("chunks"))
+    asked = members.join(sizes, "component").select(F.col("component").alias("grp"), F.col("id").alias("rep"), "chunks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text", F.xxhash64("text").alias("_h"))
+    sets, facts = lineage.cut(
+        texts.join(asked, "rep").dropDuplicates(["rep", "_h"]).select("grp", "rep", "chunks", "text").mapInArrow(shingled, "grp long, rep long, chunks int, shingles array<long>"),
+        most=F.max("chunks"),
     )
-    dealt = _chunk_pairs(
-        members.join(sizes, "component").select(F.col("component").alias("grp"), F.col("id").alias("rep"), "chunks"), ["grp"], "chunks"
+    if (facts["most"] or 0) <= 1:
+        out = components(checked(sets.withColumn("chunk", F.lit(0))))
+        drop(sets)
+        return out
+    large = sets.where("chunks > 1")
+    alone = (
+        large.select("grp", "rep", F.explode("shingles").alias("h")).groupBy("grp", "h").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).where("f = 1")
+        .groupBy("grp", "rep").agg(F.count("*").alias("own"))
+    )
+    size = F.size("shingles")
+    # an intersection has no shingle of one's own, and the union no fewer than one's all
+    able, _ = lineage.cut(
+        large.join(alone, ["grp", "rep"], "left")
+        .withColumn("own", F.coalesce("own", F.lit(0)))
+        .where(100 * (size - F.col("own")) >= percent * size)
+        .select("grp", "rep", "shingles", (F.col("own") / size).alias("share"))
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    links = (
-        dealt.join(texts, "rep")
-        .select("grp", "i", "j", "rep", "text")
-        .mapInArrow(sets, "grp long, i int, j int, rep long, shingles binary")
-        .repartition(partitions(docs), "grp", "i", "j")
-        .sortWithinPartitions("grp", "i", "j", "rep")
-        .mapInArrow(confirm, "a long, b long")
+    fresh = able.groupBy("grp").agg(F.greatest(F.ceil(F.sum(size) / SET_CHUNK), F.ceil(F.count("*") / SET_MEMBERS)).cast("int").alias("chunks"))
+    dealt = able.join(fresh, "grp")
+    cleanest = Window.partitionBy("grp").orderBy("share", "rep")
+    pivots = dealt.withColumn("_nth", F.row_number().over(cleanest)).where(F.col("_nth") <= SET_PIVOTS).drop("_nth")
+    small = sets.where("chunks = 1").withColumn("chunk", F.lit(0))
+    links = checked(small).unionByName(checked(_with_pivots(dealt, pivots, "chunks")))
+    once = components(links)
+    placed = able.join(once.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = checked(_apart(placed, "grp", SET_MEMBERS))
+    out = components(once.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    drop(sets, able, once)
+    return out
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, match: int = MATCH
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when ``100 * |intersection| >= percent * |union|`` of their sets of
+    ``width``-word shingles (lower-cased A-Z); component_id is the smallest id reachable.
+    """
+    sketches, facts = lineage.cut(sketch(docs, width, coordinates), n=F.count(F.lit(1)))
+    usable = "n_shingles > 0 and doc_id is not null"
+    classes, found = lineage.cut(
+        sketches.where(usable)
+        .groupBy("k1", "k2")
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")),
+        n=F.count(F.lit(1)),
     )
-    found = components(links)
+    loose = candidate_groups(classes, found["n"], coordinates, match)
+    linked = confirmed_groups(docs, classes, loose, width, percent)
     drop(loose)
-    rep = class_of.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "k1", "k2", F.coalesce("component", "rep").alias("of_class")
+    of_class = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+        "k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id")
     )
-    # an exact copy finds its class by the key of its set; rows without shingles stay by themselves
+    # an exact copy finds its class by the key of its set; a class of very many copies is looked up in place
+    filled = with_hot_keys(sketches.where(usable).select("doc_id", "n_shingles", "k1", "k2"), of_class, ["k1", "k2"], "copies", facts["n"])
+    single = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return (
-        sketches.drop("sig")
-        .join(rep, ["k1", "k2"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("of_class"))).otherwise(F.col("doc_id")).alias("component_id"),
-        )
+        filled.select("doc_id", "n_shingles", "component_id")
+        .unionByName(single)
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near duplicates; same columns.
+
+    Of rows that repeat a doc_id one stays, the first by text and then by the other columns; rows without a doc_id stay all.
+    """
+    found = near_duplicates(docs, width, percent)
+    by_id = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_rows")))
+    doc = F.col("doc_id").cast("long")
+    left = docs.join(by_id.where("not _kept").select("_id"), doc == F.col("_id"), "left_anti")
+    again = by_id.where("_kept and _rows > 1").select("_id")
+    if again.isEmpty():
+        return left
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    one = (
+        left.join(again, doc == F.col("_id"))
+        .groupBy("_id")
+        .agg(F.min_by(F.struct(*columns), F.struct("text", F.to_json(F.struct(*others)))).alias("_row"))
+        .select("_row.*")
+    )
+    return left.join(again, doc == F.col("_id"), "left_anti").unionByName(one)
+
+
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)

@@ -1,17 +1,22 @@
-"""Plan helpers: reading tables, sizing partitions, cutting lineage, components."""
+"""Plan helpers: reading tables, sizing and dealing partitions, cutting lineage, hot keys, components."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one group or one task of a text stage should hold.
+from ..plans import lineage
+from ..plans.lineage import drop
+
+__all__ = ["BLOCK_BYTES", "block_of", "bucketed", "components", "cut", "dealt_blocks", "drop", "findable", "partitions", "table", "with_hot_keys", "with_rank"]
+
+#: Bytes of stored text that one group or one task of a text stage should hold.
 BLOCK_BYTES = 24 << 20
+#: Rows of one key that a task may hold at least; more make the key a hot one if it also has a thousandth of all rows.
+HOT_ROWS = 1000
 
 
 def findable(spark: SparkSession) -> None:
@@ -32,40 +37,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def partitions(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """How many partitions to deal ``df`` to: by its size as Spark estimates it, without running it."""
+    """How many partitions to deal ``df`` to: by the summed sizes of what it reads, without running it.
+
+    Only leaves of the plan count, since estimates of joins are products. A leaf whose size Spark does not know
+    (rows of an RDD) counts as many partitions as it has.
+    """
     spark = df.sparkSession
     findable(spark)
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    estimate = estimate if estimate < 1 << 62 else 0  # unknown
-    return max(least, -(-estimate // block_bytes))
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    known, unknown = 0, 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        size = int(leaf.stats().sizeInBytes())
+        if size < 1 << 62:
+            known += size
+        elif leaf.nodeName().endswith("ExistingRDD") or leaf.getClass().getSimpleName() == "LogicalRDD":
+            unknown += leaf.rdd().getNumPartitions()
+    return max(least, -(-known // block_bytes), unknown)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files, so lost executors cost no recomputation."""
-    path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by ``cut`` that nothing reads any more."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    return lineage.cut(df)[0]
 
 
 def block_of(column: str | Column, blocks: int) -> Column:
@@ -73,6 +67,46 @@ def block_of(column: str | Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
+def _times(x: Column, factor: int) -> Column:
+    """The product of two numbers of 32 bits, modulo 2**32, without overflow of 64 bits."""
+    low, high = factor & 0xFFFF, factor >> 16
+    return (x * low + F.shiftleft((x * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _turned(x: Column, bits: int) -> Column:
+    return F.shiftleft(x, bits).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.shiftright(x, 32 - bits))
+
+
+def seat(block: Column) -> Column:
+    """The int whose hash, as Spark deals rows by it, is the block number: block b of n lands in partition b of n.
+
+    Murmur3 of one int is a chain of invertible steps; this walks them backwards.
+    """
+    wrap = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    steps = (
+        lambda x: x.bitwiseXOR(F.shiftright(x, 16)),
+        lambda x: _times(x, pow(0xC2B2AE35, -1, 1 << 32)),
+        lambda x: x.bitwiseXOR(F.shiftright(x, 13)).bitwiseXOR(F.shiftright(x, 26)),
+        lambda x: _times(x, pow(0x85EBCA6B, -1, 1 << 32)),
+        lambda x: x.bitwiseXOR(F.shiftright(x, 16)).bitwiseXOR(F.lit(4)),
+        lambda x: _times(wrap(x + ((1 << 32) - 0xE6546B64)), pow(5, -1, 1 << 32)),
+        lambda x: _turned(x, 19).bitwiseXOR(F.lit(42)),
+        lambda x: _times(x, pow(0x1B873593, -1, 1 << 32)),
+        lambda x: _turned(x, 17),
+        lambda x: _times(x, pow(0xCC9E2D51, -1, 1 << 32)),
+        lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("int"),
+    )
+    held = F.array(block.cast("long"))
+    for step in steps:  # each names its operand once, so the expression does not double at every step
+        held = F.transform(held, step)
+    return held[0]
+
+
+def dealt_blocks(df: DataFrame, blocks: int, block: Column, name: str = "_block") -> DataFrame:
+    """``df`` with a column ``name`` that names the block, and every block in a partition of its own."""
+    return df.withColumn(name, seat(block)).repartition(blocks, name)
+
+
 def bucketed(column: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``, equals ``remainder`` (false for null)."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
@@ -92,8 +126,16 @@ def with_rank(df: DataFrame, value: Column, edges: list[float], name: str) -> Da
     return ranked.withColumn(name, F.when(F.col("_value").isNull(), 0).otherwise(F.col("_rank")).cast("int")).drop("_value", "_rank")
 
 
-def _facts(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first())
+def with_hot_keys(rows: DataFrame, values: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, which has one row per key and the number ``count`` of rows that have it.
+
+    Keys of more than a thousandth of all ``total`` rows (and of ``HOT_ROWS``) are at most a thousand: their values
+    are broadcast, so their rows stay where they are. The others are joined by a shuffle.
+    """
+    limit = max(HOT_ROWS, total // 1000)
+    hot = F.broadcast(values.where(F.col(count) > limit))
+    rest = rows.join(F.broadcast(values.where(F.col(count) > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(values.where(F.col(count) <= limit), keys))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -101,18 +143,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     to another one; ``component`` is the smallest id of its component.
 
     Alternating large-star and small-star rounds; every round is two aggregations and two joins
-    over the remaining edges, which shrink to one star per component. Nothing is collected but a
-    count and a checksum per round.
+    over the remaining edges, which shrink to one star per component. The centre of a large star is a hot key.
+    Nothing is collected but a count and a checksum per round.
     """
-    now = cut(
+
+    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
+        out, facts = lineage.cut(df, n=F.count(F.lit(1)), s=F.sum(F.xxhash64("a", "b") % (1 << 31)))
+        return out, (facts["n"], facts["s"])
+
+    now, facts = settled(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
-    facts = _facts(now)
     for _ in range(max_rounds):
+        if not facts[0]:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         large = (
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            with_hot_keys(both.where("b > a"), least, ["a"], "n", 2 * facts[0])
+            .select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .where("a <> b")
+            .distinct()
         )
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
@@ -122,9 +173,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        after = cut(small)
+        after, found = settled(small)
         drop(now)
-        now, before, facts = after, facts, _facts(after)
+        now, before, facts = after, facts, found
         if facts == before:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            out = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            out._scratch = now._scratch
+            return out
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

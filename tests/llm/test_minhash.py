@@ -66,10 +66,17 @@ def test_empty_table(spark):
 
 def test_chunked_lists_and_groups(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LIST_CHUNK", 8)
+    monkeypatch.setattr(minhash, "LIST_PIVOTS", 2)
     monkeypatch.setattr(minhash, "SET_MEMBERS", 8)
+    monkeypatch.setattr(minhash, "SET_PIVOTS", 2)
     rng = random.Random(9)
     base = " ".join(f"b{k}" for k in range(100))
     rows = list(enumerate(near_copies(rng, base, 60, 5)))
+    # a chain of texts, each near the next alone, and two groups in one template
+    chain = [f"c{k}" for k in range(200)]
+    rows += [(1000 + k, " ".join(chain[9 * k : 9 * k + 100])) for k in range(11)]
+    template = " ".join(f"t{k}" for k in range(60))
+    rows += [(2000 + k, f"{template} " + " ".join(f"{'xy'[k % 2]}{j}" for j in range(40)) + f" z{k}") for k in range(40)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, rows), 4, 80).collect()}
     assert got == {i: x[1] for i, x in brute(rows, 4, 80).items()}
 
@@ -80,6 +87,41 @@ def test_signature_agreement_estimates_similarity():
     m = minhash._multipliers(1024)
     a, b = minhash.signature(pool[:2000], m), minhash.signature(pool[1000:], m)
     assert abs((a == b).mean() - 1000 / 3000) < 0.06
+    # strangers do not meet, however large their sets
+    big = [minhash.signature(rng.integers(0, 1 << 63, 30_000, dtype=np.uint64), m) >> np.uint64(32) for _ in range(40)]
+    assert len(np.unique(np.concatenate(big))) == 40 * 1024
+
+
+def test_rows_grow_with_members(spark, monkeypatch):
+    """Near copies of one text: what is dealt to tasks that compare is linear in their number."""
+    monkeypatch.setattr(minhash, "LIST_CHUNK", 256)
+    monkeypatch.setattr(minhash, "LIST_PIVOTS", 16)
+    monkeypatch.setattr(minhash, "SET_MEMBERS", 256)
+    monkeypatch.setattr(minhash, "SET_PIVOTS", 16)
+    rows: dict[str, int] = {}
+    kept = minhash._with_pivots, minhash._apart
+
+    def counting(name, f):
+        def run(*a):
+            out = f(*a)
+            rows[name] = rows.get(name, 0) + out.count()
+            return out
+
+        return run
+
+    monkeypatch.setattr(minhash, "_with_pivots", counting("pivots", kept[0]))
+    monkeypatch.setattr(minhash, "_apart", counting("apart", kept[1]))
+    rng = random.Random(10)
+    base = " ".join(f"b{k}" for k in range(100))
+    per_member = []
+    for n in (600, 2400):
+        rows.clear()
+        texts = near_copies(rng, base, n, 5)
+        got = minhash.near_duplicates(table(spark, list(enumerate([base, *texts]))), 4, 80).collect()
+        per_member.append(sum(rows.values()) / n)
+        # three edits or more are below the threshold to everything
+        assert 0.3 * n < sum(r.component_id == 0 for r in got) < 0.8 * n
+    assert per_member[1] < 1.25 * per_member[0], per_member
 
 
 def test_components_of_chains_and_stars(spark):
@@ -90,3 +132,13 @@ def test_components_of_chains_and_stars(spark):
 
 def test_lower_is_ascii_only():
     assert lower("ÀÉA") == "ÀÉa"
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "g h"), (3, "g h i"), (None, "a b c d e f"), (None, "a b c d e f"), (4, None), (4, "")]
+    df = table(spark, rows)
+    out = minhash.without_near_duplicates(df, 5, 80)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(
+        [(1, "a b c d e f"), (3, "g h"), (None, "a b c d e f"), (None, "a b c d e f"), (4, None)], key=str
+    )
