@@ -5,12 +5,19 @@ space. It falls into chunks that no piece crosses; equal chunks are solved once,
 equal length advance together: for every length the hashes of all substrings are probed in the
 sorted keys of the pieces, and one recursion over positions serves the whole group.
 
+Long chunks go through windows of positions: of what lies behind only the last scores stay, and one backpointer a
+position (the length of its best last piece). A chunk that is alone in its group steps through the pieces found one by
+one, without arrays of one row.
+
 A character that is no piece of its own is spelt by byte pieces, as is a literal U+2581, so
 decoding gives every text back.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +27,10 @@ from .text import mix64
 MARK, LITERAL_MARK, NEWLINE = 0x2581, 0x110001, 10
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 _BITS = np.uint64(44)
-#: Cells (words x positions) that one group solves at a time.
+#: Cells (words x positions) that are solved at a time: a group of words, or a window of one long word.
 CELLS = 1 << 17
+#: Chunks of more code points are not compared with others.
+LONG = 4096
 
 
 def _values(points: np.ndarray) -> np.ndarray:
@@ -114,12 +123,10 @@ def zipf_scores(v: Vocabulary) -> Vocabulary:
 def marked(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points with a mark in front of each non-empty text and for each space; new offsets."""
     full = np.diff(offsets) > 0
-    grown = offsets + np.concatenate(([0], np.cumsum(full)))
-    out = np.full(grown[-1], MARK, np.uint32)
-    shift = np.repeat(np.cumsum(full), np.diff(offsets))
-    inner = np.where(points == 0x20, np.uint32(MARK), np.where(points == MARK, np.uint32(LITERAL_MARK), points))
-    out[np.arange(len(points)) + shift] = inner
-    return out, grown
+    inner = points.copy()
+    inner[points == MARK] = LITERAL_MARK
+    inner[points == 0x20] = MARK
+    return np.insert(inner, offsets[:-1][full], np.uint32(MARK)), offsets + np.concatenate(([0], np.cumsum(full)))
 
 
 def chunk_starts(points: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> np.ndarray:
@@ -140,6 +147,14 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def chunk_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash per chunk (chunks follow each other without gaps); chunks above ``LONG`` get a number each."""
+    lengths = ends - starts
+    long = lengths > LONG
+    if long.any():
+        out = mix64(np.arange(len(starts), dtype=np.uint64) + np.uint64(1 << 62))
+        begin = np.concatenate(([0], np.cumsum(lengths[~long])))
+        out[~long] = chunk_hashes(points[np.repeat(~long, lengths)], begin[:-1], begin[1:])
+        return out
     size = 1 << max(16, len(points).bit_length())
     if size not in _powers:
         _powers.clear()
@@ -154,28 +169,51 @@ def chunk_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _edges(matrix: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """For words of one length: score and id of the piece of length l (axis 0, l-1) that ends at e
-    (axis 2) in each word (axis 1). Ids below zero stand for characters that bytes must spell."""
-    n, length = matrix.shape
-    longest = min(length, v.longest)
-    score = np.full((longest, n, length + 1), -np.inf)
-    piece = np.zeros((longest, n, length + 1), np.int32)
-    values = _values(matrix)
+def _edges(matrix: np.ndarray, v: Vocabulary, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """For words of one length: score and id of the piece of length l (axis 0, l-1) that ends at position
+    e (axis 2, e-begin-1, for begin < e <= end) in each word (axis 1). Ids below zero stand for characters that bytes must spell."""
+    low = max(0, begin + 1 - v.longest)
+    part = matrix[:, low:end]
+    longest = min(end, v.longest)
+    score = np.full((longest, len(matrix), end - begin), -np.inf)
+    piece = np.zeros((longest, len(matrix), end - begin), np.int32)
+    values = _values(part)
     rolled = values
     for size in range(1, longest + 1):
         if size > 1:
             rolled = rolled[:, :-1] * _BASE + values[:, size - 1 :]
-        at, ids = v.probe(rolled)
-        row, col = np.divmod(at, rolled.shape[1])
-        score[size - 1, row, col + size] = v.scores[ids]
-        piece[size - 1, row, col + size] = ids
-    row, col = np.nonzero(np.isneginf(score[0, :, 1:]))
-    score[0, row, col + 1] = v.unknown_score
-    piece[0, row, col + 1] = -1 - matrix[row, col].astype(np.int32)
+        skip = max(0, begin + 1 - low - size)
+        at, ids = v.probe(rolled[:, skip:])
+        row, col = np.divmod(at, rolled.shape[1] - skip)
+        col += low + skip + size - begin - 1
+        score[size - 1, row, col] = v.scores[ids]
+        piece[size - 1, row, col] = ids
+    row, col = np.nonzero(np.isneginf(score[0]))
+    score[0, row, col] = v.unknown_score
+    piece[0, row, col] = -1 - matrix[row, begin + col].astype(np.int32)
     return score, piece
 
 
+def _windows(n: int, length: int) -> Iterator[tuple[int, int]]:
+    step = max(1, CELLS // n)
+    for begin in range(0, length, step):
+        yield begin, min(length, begin + step)
+
+
+def _ids_of(matrix: np.ndarray, row: np.ndarray, begin: np.ndarray, size: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Piece ids of spans that are known to be pieces or single characters."""
+    out = -1 - matrix[row, begin].astype(np.int32)
+    for n in np.unique(size).tolist():
+        same = np.flatnonzero(size == n)
+        for own in np.split(same, range(CELLS, len(same), CELLS)):
+            hashes = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                hashes = hashes * _BASE + _values(matrix[row[own], begin[own] + k])
+            at, ids = v.probe(hashes)
+            out[own[at]] = ids
+    return out
+
+
 def _groups(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Indices of chunks of one length with the matrix of their code points, in bounded groups."""
     lengths = ends - starts
@@ -189,7 +227,43 @@ def _groups(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
             step = max(1, CELLS // length)
             for at in range(0, len(same), step):
                 part = same[at : at + step]
-                yield part, points[starts[part][:, None] + np.arange(length)]
+                if len(part) == 1:
+                    yield part, points[None, starts[part[0]] : ends[part[0]]]
+                else:
+                    yield part, points[starts[part][:, None] + np.arange(length)]
+
+
+def _best(matrix: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray | None]:
+    """Backpointers (length of the best last piece by position) and, of words within one window, all piece ids."""
+    n, length = matrix.shape
+    keep = v.longest
+    back = np.zeros((n, length + 1), np.uint8 if keep < 256 else np.int32)
+    best = np.full((n, keep), -np.inf)  # of the last positions before the window
+    best[:, -1] = 0
+    rows = np.arange(n)
+    for begin, end in _windows(n, length):
+        score, piece = _edges(matrix, v, begin, end)
+        longest = len(score)
+        if n == 1:
+            values = best[0].tolist() + [-np.inf] * (end - begin)
+            ends, sizes = np.nonzero(score[:, 0].T > -np.inf)  # by position, and there from short to long
+            behind = [0] * (end - begin)
+            for e, size, x in zip(ends.tolist(), (sizes + 1).tolist(), score[sizes, 0, ends].tolist(), strict=True):
+                x += values[keep + e - size]
+                if x >= values[keep + e]:
+                    values[keep + e], behind[e] = x, size
+            back[0, begin + 1 : end + 1] = behind
+            best = np.array([values[-keep:]])
+            continue
+        wide = np.concatenate((best, np.empty((n, end - begin))), axis=1)
+        for e in range(end - begin):
+            k = min(begin + e + 1, longest)
+            options = wide[:, keep + e - k : keep + e].T + score[k - 1 :: -1, :, e] if k < longest else wide[:, keep + e - k : keep + e].T + score[::-1, :, e]
+            choice = options.argmax(axis=0)  # longest piece first
+            wide[:, keep + e] = options[choice, rows]
+            back[:, begin + e + 1] = k - choice
+        best = wide[:, -keep:]
+    return back, piece if length and end == length and begin == 0 else None
 
 
 def viterbi(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -201,31 +275,31 @@ def viterbi(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabul
     found = []
     for part, matrix in _groups(points, starts, ends):
         n, length = matrix.shape
-        score, piece = _edges(matrix, v)
-        longest = len(score)
-        best = np.zeros((n, length + 1))
-        back = np.zeros((n, length + 1), np.int32)
-        rows = np.arange(n)
-        for e in range(1, length + 1):
-            k = min(e, longest)
-            options = best[:, e - k : e].T + score[k - 1 :: -1, :, e] if k < longest else best[:, e - k : e].T + score[::-1, :, e]
-            choice = options.argmax(axis=0)  # longest piece first
-            best[:, e] = options[choice, rows]
-            back[:, e] = k - choice
-        at = np.full(n, length)
-        steps = []
-        live = rows
-        while len(live):
-            size = back[live, at[live]]
-            steps.append((live, piece[size - 1, live, at[live]]))
-            at[live] -= size
-            live = live[at[live] > 0]
-        row = np.concatenate([r for r, _ in steps])
-        ids = np.concatenate([i for _, i in steps])
-        turn = np.repeat(np.arange(len(steps)), [len(r) for r, _ in steps])
-        order = np.lexsort((-turn, row))
+        back, piece = _best(matrix, v)
+        if n == 1:
+            at, cuts, steps_back = length, array("q"), memoryview(back[0])
+            while at:
+                cuts.append(at)
+                at -= steps_back[at]
+            at = np.frombuffer(cuts, np.int64)[::-1]
+            size = back[0, at].astype(np.int64)
+            row = np.zeros(len(at), np.int8)
+        else:
+            at = np.full(n, length)
+            live = np.arange(n)
+            steps = []
+            while len(live):
+                size = back[live, at[live]].astype(np.int64)
+                steps.append((live, at[live], size))
+                at[live] -= size
+                live = live[at[live] > 0]
+            turn = np.repeat(np.arange(len(steps)), [len(s[0]) for s in steps])
+            row, at, size = (np.concatenate(x) for x in zip(*steps, strict=True))
+            order = np.lexsort((-turn, row))
+            row, at, size = row[order], at[order], size[order]
+        ids = piece[size - 1, row, at - 1] if piece is not None else _ids_of(matrix, row, at - size, size, v)
         counts[part] = np.bincount(row, minlength=n)
-        found.append((part, ids[order]))
+        found.append((part, ids))
     offsets = np.concatenate(([0], np.cumsum(counts)))
     flat = np.zeros(offsets[-1], np.int32)
     for part, ids in found:
@@ -268,41 +342,36 @@ def _byte_cost(matrix_piece: np.ndarray, v: Vocabulary, score: np.ndarray) -> No
         score[0, row, col] = np.array(cost)[inverse]
 
 
-def marginals(
-    points: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabulary, weights: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log of the summed weight of all segmentations of each chunk (forward recursion);
-    with ``weights`` of the chunks also the expected count of each piece (backward recursion)."""
+def marginals(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Natural log of the summed weight of all segmentations of each chunk (forward recursion in log space)."""
     out = np.zeros(len(starts))
-    expected = np.zeros(len(v.scores)) if weights is not None else None
     for part, matrix in _groups(points, starts, ends):
         n, length = matrix.shape
-        score, piece = _edges(matrix, v)
-        _byte_cost(piece, v, score)
-        longest = len(score)
-        forward = np.zeros((n, length + 1))
-        for e in range(1, length + 1):
-            k = min(e, longest)
-            forward[:, e] = _log_sum(forward[:, e - k : e].T[::-1] + score[:k, :, e])
-        out[part] = forward[:, length]
-        if expected is None:
-            continue
-        backward = np.zeros((n, length + 1))
-        for s in range(length - 1, -1, -1):
-            k = min(length - s, longest)
-            options = np.stack([score[m, :, s + m + 1] + backward[:, s + m + 1] for m in range(k)])
-            backward[:, s] = _log_sum(options)
-        for m in range(longest):
-            share = forward[:, : length - m] + score[m, :, m + 1 :] + backward[:, m + 1 :] - forward[:, length :]
-            row, col = np.nonzero(share > -40)
-            ids = piece[m, row, col + m + 1]
-            amount = np.exp(share[row, col]) * weights[part][row]
-            known = ids >= 0
-            expected += np.bincount(ids[known], amount[known], minlength=len(expected))
-            for p, a in zip((-1 - ids[~known]).tolist(), amount[~known].tolist(), strict=True):
-                bytes_ = v.byte_ids[list((chr(MARK) if p == LITERAL_MARK else chr(p)).encode("utf-8", "surrogatepass"))]
-                np.add.at(expected, bytes_, a)
-    return out, expected
+        keep = v.longest
+        forward = np.full((n, keep), -np.inf)  # of the last positions before the window
+        forward[:, -1] = 0
+        for begin, end in _windows(n, length):
+            score, piece = _edges(matrix, v, begin, end)
+            _byte_cost(piece, v, score)
+            longest = len(score)
+            if n == 1:
+                values = forward[0].tolist() + [-math.inf] * (end - begin)
+                ends_, sizes = np.nonzero(score[:, 0].T > -np.inf)
+                for e, size, x in zip((ends_ + keep).tolist(), (sizes + 1).tolist(), score[sizes, 0, ends_].tolist(), strict=True):
+                    x, y = x + values[e - size], values[e]
+                    if x < y:
+                        x, y = y, x
+                    if x > -math.inf:
+                        values[e] = x + math.log1p(math.exp(y - x))
+                forward = np.array([values[-keep:]])
+                continue
+            wide = np.concatenate((forward, np.empty((n, end - begin))), axis=1)
+            for e in range(end - begin):
+                k = min(begin + e + 1, longest)
+                wide[:, keep + e] = _log_sum(wide[:, keep + e - k : keep + e].T[::-1] + score[:k, :, e])
+            forward = wide[:, -keep:]
+        out[part] = forward[:, -1]
+    return out
 
 
 def expand(flat: np.ndarray, offsets: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,21 +1,25 @@
 """Language-model scores by the likelihood of a subword lattice.
 
-A token is a word or the end of a text. The probability of a word is the sum over all segmentations
-of its lattice, found by a forward recursion in log space. The edges are the pieces of an existing
-vocabulary, whose own scores weigh the segmentations first and are fitted to the corpus by the
-expected piece counts over all distinct training words, for a few rounds; and, beside these, one
-edge over the whole word for every training word, weighed by its count. With c training tokens of N and
-the lattice probability L(word), that is ``(c + a * L(word)) / (N + a)``, where a is the number of
-words seen once (by Good and Turing: what is new among N tokens), so the tokens' probabilities sum to 1.
+A token is a word or the end of a text. A document's probability is the sum over all segmentations of its
+lattice, found by a forward recursion in log space; words begin pieces, so it is a product over tokens. The edges are
+
+* the pieces of an existing vocabulary, weighed by its own scores, which are not fitted to the corpus (characters
+  without a piece are spelt by byte pieces). All segmentations of a word w into pieces weigh L(w) together; over all words
+  and the end, L sums to 1;
+* one edge over each token that the training texts hold, weighed by its count c + 1: all that is learned.
+
+With N training tokens, V of them distinct, the edges of known tokens share N + V of N + V + 1 parts, and the
+pieces spell with the last part, that of the unknown: ``P(w) = ((c + 1 if c else 0) + L(w)) / (N + V + 1)``. So P sums to 1, and no known
+token is less likely than by the add-one base, which gives the last part to each unknown token whole, however many
+there are. ``lattice_score`` is the document's probability by the vocabulary alone.
 
 1. Blocks of texts list their distinct words with counts; these are summed to one corpus table.
-2. The expected counts of the pieces (as many numbers as the vocabulary has pieces) come to the
-   driver as exact integers, whose sum does not depend on the order.
-3. Every block asks for the counts of its distinct words by their hashes, gets them in one join,
+2. Every block asks for the counts of its distinct words by their hashes, gets them in one join,
    and scores its texts.
 
 Defined results: null and empty texts are one end token; rows with a null ``doc_id`` are not learned
-from; repeated rows count as often as they stand; without training texts N and V are 0.
+from; repeated rows count as often as they stand; without training texts N and V are 0; a word of any length is scored whole, in
+memory of a few bytes a character.
 """
 
 from __future__ import annotations
@@ -30,14 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
-from .pieces import MODEL
-from .plan import block_of, bucketed, cut, partitions, table
+from .pieces import MODEL, vocabulary_of
+from .plan import block_of, bucketed, cut, dealt_blocks, partitions, table
 from .text import Words, code_points, slices, span_hashes, utf8
 
 SLICE = 4 << 20
-#: Expected counts are summed as integers of this unit.
-UNIT = 1 << 16
-#: Share of ends among the draws of the piece model.
+#: Share of ends among the draws of the vocabulary alone.
 END = 1e-3
 
 
@@ -65,44 +67,23 @@ def _lattice_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return points, offsets[:-1], offsets[1:]
 
 
-def _reweighted(v: lattice.Vocabulary, first: lattice.Vocabulary, expected: dict[int, int]) -> lattice.Vocabulary:
-    """The vocabulary with smoothed log probabilities: a piece or, once in a while, an end."""
-    total = np.zeros(len(v.scores))
-    for i, x in expected.items():
-        total[i] = x / UNIT
-    prior = np.exp(first.scores)
-    total += prior * len(v.ids)
-    with np.errstate(divide="ignore"):
-        return v.with_scores(np.log(total / total.sum() * (1 - END)))
-
-
-def learn(counts: DataFrame, model: str = MODEL, rounds: int = 3) -> tuple[lattice.Vocabulary, float]:
-    """Log probabilities of the pieces, fitted to the distinct words of a table (word, c) from the model's
-    scores, and that of a text's end as a token."""
-    first = lattice.zipf_scores(lattice.from_model(model))
-    now = first
-    words = counts.where("word <> ''").select("word")
-    for _ in range(rounds):
-
-        def expect(batches: Iterator[pa.RecordBatch], v=now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(v.scores))
-            for batch in batches:
-                for part in slices(batch, "word", 1 << 20):
-                    points, starts, ends = _lattice_words(part.column(0))
-                    total += lattice.marginals(points, starts, ends, v, np.ones(len(starts)))[1]
-            units = np.rint(total * UNIT).astype(np.int64)
-            ids = np.flatnonzero(units)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units[ids])], ["piece", "units"])
-
-        sums = words.mapInArrow(expect, "piece long, units long").groupBy("piece").agg(F.sum("units").alias("units"))
-        now = _reweighted(now, first, {r.piece: r.units for r in sums.toLocalIterator()})
-    opens = np.array([s.startswith(b" ") for s in now.spelled])
+def lattice_model(model: str = MODEL) -> tuple[lattice.Vocabulary, float]:
+    """The vocabulary with room for ends among its draws, and the log probability of an end as a token."""
+    v = vocabulary_of(model, ranks=True)
+    v = v.with_scores(v.scores + math.log1p(-END))
+    opens = np.array([s.startswith(b" ") for s in v.spelled])
     # a word goes on until a piece opens the next or the text ends
-    return now, math.log(END / (END + np.exp(now.scores[opens]).sum()))
+    return v, math.log(END / (END + np.exp(v.scores[opens]).sum()))
+
+
+def word_logs(words: list[bytes], v: lattice.Vocabulary) -> np.ndarray:
+    """Natural log of L of each word."""
+    column = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+    return lattice.marginals(*_lattice_words(column), v)
 
 
-def lm_scores(docs: DataFrame, held_out, model: str = MODEL, rounds: int = 3) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+def lm_scores(docs: DataFrame, held_out, model: str = MODEL) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of every document.
 
     ``held_out``: a boolean column; the model learns from the rows where it is false and doc_id is set.
     """
@@ -111,11 +92,9 @@ def lm_scores(docs: DataFrame, held_out, model: str = MODEL, rounds: int = 3) ->
     rows = docs.select(doc.alias("doc_id"), "text", held_out.alias("held_out"))
     learned = rows.where("not held_out and doc_id is not null")
     counts = cut(word_counts(learned).groupBy("word").agg(F.sum("n").alias("c")))
-    n_all, n_distinct, once, ends = counts.agg(
-        F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.sum(F.when(F.col("word") == "", F.col("c")))
-    ).first()
-    n_all, ends, weight = n_all or 0, ends or 0, once + 1
-    v, end_lattice = learn(counts, model, rounds)
+    n_all, n_distinct, ends = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == "", F.col("c")))).first()
+    n_all, ends = n_all or 0, ends or 0
+    v, end_lattice = lattice_model(model)
 
     def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,15 +115,12 @@ def lm_scores(docs: DataFrame, held_out, model: str = MODEL, rounds: int = 3) ->
         for block, found in own.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, np.int32)), pa.array(found.view(np.int64))], ["block", "h"])
 
-    dealt = rows.select(
-        block_of(F.coalesce("doc_id", F.xxhash64("text")), blocks).alias("_block"), "doc_id", "text", "held_out"
-    ).repartition(blocks, "_block")
+    dealt = dealt_blocks(rows, blocks, block_of(F.xxhash64("doc_id", "text"), blocks)).select("_block", "doc_id", "text", "held_out")
     by_hash = counts.where("word <> ''").mapInArrow(hash_words, "h long, c long")
     asked = dealt.mapInArrow(list_words, "block int, h long").join(by_hash, "h").select("block", "h", "c")
-    denominator = math.log10(n_all + n_distinct + 1)
-    end_base = math.log10(ends + 1) - denominator
-    all_log, weight_log = math.log(n_all + weight), math.log(weight)
-    end_log = math.log(ends + weight * math.exp(end_lattice)) - all_log
+    parts = n_all + n_distinct + 1
+    end_log = math.log10((ends + 1 if ends else 0) + math.exp(end_lattice)) - math.log10(parts)
+    end_base = math.log10(ends + 1) - math.log10(parts)
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         h, c = right.column("h").to_numpy().view(np.uint64), right.column("c").to_numpy()
@@ -160,18 +136,16 @@ def lm_scores(docs: DataFrame, held_out, model: str = MODEL, rounds: int = 3) ->
                 c_of = np.where(h[at] == hashes, c[at], 0)
                 fresh = np.flatnonzero(~np.isin(hashes, seen, assume_unique=True))
                 if len(fresh):
-                    column = pa.array([w.decode("utf-8", "replace") for w in words.strings(first[fresh])], pa.string())
-                    seen, logs = np.append(seen, hashes[fresh]), np.append(logs, lattice.marginals(*_lattice_words(column), v)[0])
+                    seen, logs = np.append(seen, hashes[fresh]), np.append(logs, word_logs(words.strings(first[fresh]), v))
                     by = np.argsort(seen)
                     seen, logs = seen[by], logs[by]
+                by_lattice = logs[np.searchsorted(seen, hashes)] if len(seen) else np.zeros(0)
                 with np.errstate(divide="ignore"):
-                    word_log = np.log(c_of.astype(float))
-                lattice_log = weight_log + (logs[np.searchsorted(seen, hashes)] if len(seen) else np.zeros(0))
-                word_log = np.logaddexp(word_log, lattice_log) - all_log
+                    by_all = np.logaddexp(np.log(np.where(c_of > 0, c_of + 1.0, 0.0)), by_lattice)
                 total = [np.concatenate(([0], np.cumsum(x[inverse]))) for x in (
-                    np.log10(c_of + 1.0) - denominator, word_log, (c_of > 0).astype(np.int64)
+                    np.log10(c_of + 1.0) - math.log10(parts), by_all / math.log(10) - math.log10(parts), by_lattice / math.log(10), (c_of > 0).astype(np.int64)
                 )]
-                base, model_log, known = (t[words.of[1:]] - t[words.of[:-1]] for t in total)
+                base, whole, alone, known = (t[words.of[1:]] - t[words.of[:-1]] for t in total)
                 out.append(
                     pa.RecordBatch.from_arrays(
                         [
@@ -181,9 +155,10 @@ def lm_scores(docs: DataFrame, held_out, model: str = MODEL, rounds: int = 3) ->
                             pa.array(known + (ends > 0), pa.int64()),
                             pa.array(np.full(part.num_rows, n_all), pa.int64()),
                             pa.array(base + end_base),
-                            pa.array((model_log + end_log) / math.log(10)),
+                            pa.array(whole + end_log),
+                            pa.array(alone + end_lattice / math.log(10)),
                         ],
-                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"],
                     )
                 )
         return pa.Table.from_batches(out)
@@ -191,7 +166,7 @@ def lm_scores(docs: DataFrame, held_out, model: str = MODEL, rounds: int = 3) ->
     return (
         dealt.groupBy("_block")
         .cogroup(asked.groupBy("block"))
-        .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
     )
 
 

@@ -9,13 +9,15 @@ The search is that of unigram models. For a model whose scores are merge ranks (
 turns the ranks into log probabilities by Zipf's law; the library's own merges may cut differently.
 
 Defined results: null and empty texts have no pieces and decode to an empty text; a literal U+2581
-is spelt by byte pieces; ids, repeated rows and ties change nothing (ties of the search go to the
-longer last piece); only the named columns are read.
+is spelt by byte pieces; null ids, repeated rows and ties change nothing (ties of the search go to the
+longer last piece); only the named columns are read. A run of any length without a space is searched whole, in windows: memory
+grows by a few ten bytes a character of the longest text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,8 @@ from . import lattice
 from .plan import table
 from .text import code_points, slices
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the vocabulary lies unless a caller says otherwise: a file, named by this variable of the driver's environment or the usual place.
+MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SLICE = 4 << 20
 
 
@@ -58,14 +61,17 @@ class Decoder:
         return [data[a:b][1:] for a, b in zip(at[:-1], at[1:], strict=True)]  # without the mark in front
 
 
-def _vocabulary(model: str, ranks: bool) -> lattice.Vocabulary:
+def vocabulary_of(model: str, ranks: bool) -> lattice.Vocabulary:
+    """Read on the driver; ``ranks``: the file's scores are merge ranks, to be made log probabilities."""
+    if not os.path.isfile(model):
+        raise FileNotFoundError(f"no vocabulary file {model}: give its path as `model`, or in the environment as PIECE_MODEL")
     v = lattice.from_model(model)
     return lattice.zipf_scores(v) if ranks else v
 
 
 def encode(docs: DataFrame, model: str = MODEL, ranks: bool = True) -> DataFrame:
     """doc_id and pieces (array of piece ids) of every text."""
-    v = _vocabulary(model, ranks)
+    v = vocabulary_of(model, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +85,7 @@ def encode(docs: DataFrame, model: str = MODEL, ranks: bool = True) -> DataFrame
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text of rows (doc_id, pieces); null pieces give an empty text."""
-    v = lattice.from_model(model)
+    v = vocabulary_of(model, ranks=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(v)
@@ -99,7 +105,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def encode_digest(docs: DataFrame, model: str = MODEL, ranks: bool = True) -> DataFrame:
     """Per document: doc_id, n_pieces, digests of its pieces (little-endian int32) and of the decoded
     text, and whether that equals the text."""
-    v = _vocabulary(model, ranks)
+    v = vocabulary_of(model, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(v)

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Bytes that are hashed at a time.
+WINDOW = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -36,20 +38,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to the length of a window."""
+
     def series(base: int) -> np.ndarray:
-        out = np.full(n, base, dtype=np.uint64)
+        out = np.full(WINDOW + 1, base, dtype=np.uint64)
         out[0] = 1
         return np.cumprod(out, dtype=np.uint64)
 
     return series(_BASE), series(_BASE_INVERSE)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, (n + 1).bit_length()))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string array; null texts count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -115,12 +115,31 @@ class Words:
         return [data[a:b] for a, b in zip(self.start[index].tolist(), self.end[index].tolist(), strict=True)]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    up, down = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    out = (total[end] - total[start]) * down[start]
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hashes of byte spans, in order and apart, equal for equal bytes wherever they stand.
+
+    Spans go through windows, and a longer one through several, so memory does not grow with a text.
+    """
+    up, down = _powers()
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = max(i, int(np.searchsorted(end, base + WINDOW, side="right")))
+        if j > i:
+            piece = data[base : int(end[j - 1])]
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(values[piece] * up[: len(piece)], out=total[1:])
+            out[i:j] = (total[end[i:j] - base] - total[start[i:j] - base]) * down[start[i:j] - base]
+            i = j
+        else:
+            whole, shift = 0, 1
+            for at in range(base, int(end[i]), WINDOW):
+                piece = data[at : min(at + WINDOW, int(end[i]))]
+                whole += int((values[piece] * up[: len(piece)]).sum()) * shift
+                shift = shift * int(up[WINDOW]) & 0xFFFFFFFFFFFFFFFF
+            out[i] = whole & 0xFFFFFFFFFFFFFFFF
+            i += 1
     out += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix64(out)
 
@@ -166,6 +185,8 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points (uint32) of a slice and offsets by text; null texts count as empty."""
     data, offsets = utf8(column)
+    if not (data >= 0x80).any():
+        return data.astype(np.uint32), offsets
     lead = (data & 0xC0) != 0x80
     points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     before = np.zeros(len(data) + 1, np.int64)

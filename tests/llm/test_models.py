@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from deltaweave.llm import langid, lm, pieces, quality
 from deltaweave.llm.plan import bucketed
 
-from .helpers import docs, table, words
+from .helpers import docs, save, table, words
+from .sql_counts import OP6_COUNTS
 
 ODD = [(900, None), (901, ""), (902, " \n\t"), (None, "aa bb"), (903, "w1 w1 W1 brandnew é"), (903, "w1"), (904, "z" * 20_000)]
 
@@ -20,7 +21,7 @@ ODD = [(900, None), (901, ""), (902, " \n\t"), (None, "aa bb"), (903, "w1 w1 W1
 def test_lm_counts_and_probabilities(spark):
     rng = random.Random(4)
     rows = list(enumerate(docs(rng, 120, vocabulary=90))) + ODD
-    out = {(r.doc_id, r.n_tokens): r for r in lm.lm_scores(table(spark, rows), bucketed(F.col("doc_id"), 7, 2), rounds=2).collect()}
+    out = {(r.doc_id, r.n_tokens): r for r in lm.lm_scores(table(spark, rows), bucketed(F.col("doc_id"), 7, 2)).collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     counts = Counter(w for i, t in rows if i is not None and not held(i) for w in [*words(t), None])
     n, v = sum(counts.values()), len(counts)
@@ -32,24 +33,69 @@ def test_lm_counts_and_probabilities(spark):
         assert r.score < 0
     # the lattice prefers words made like those it learned
     assert out[901, 1].score == out[900, 1].score
-    assert lm.lm_scores(table(spark, []), F.lit(False), rounds=1).collect() == []
+    assert lm.lm_scores(table(spark, []), F.lit(False)).collect() == []
 
 
 @pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary file")
 def test_lm_score_by_hand(spark):
     rows = [(k, "ab ab cd") for k in range(6)] + [(50, "ab zz")]
-    df = table(spark, rows)
-    got = {r.doc_id: r for r in lm.lm_scores(df, F.col("doc_id") == 50, rounds=1).collect()}
-    counts = spark.createDataFrame([("ab", 12), ("cd", 6), ("", 6)], "word string, c long")
-    v, end = lm.learn(counts, rounds=1)
-    import pyarrow as pa
-
-    logs, _ = __import__("deltaweave.llm.lattice", fromlist=["marginals"]).marginals(*lm._lattice_words(pa.array(["ab", "zz"])), v)
-    n, a = 24, 1  # no word was seen once
-    want = sum(math.log10((c + a * math.exp(x)) / (n + a)) for c, x in ((12, logs[0]), (0, logs[1]), (6, end)))
+    got = {r.doc_id: r for r in lm.lm_scores(table(spark, rows), F.col("doc_id") == 50).collect()}
+    v, end = lm.lattice_model()
+    want = sum(map(math.log10, (chance(x, Counter({"ab": 12, "cd": 6, None: 6}), v, end) for x in ("ab", "zz", None))))
     assert math.isclose(got[50].score, want, abs_tol=1e-9)
 
 
+def segmentations(word, v):
+    """Summed weight of all ways to spell the marked word, piece by piece and byte by byte."""
+    if not hasattr(v, "by_text"):
+        v.by_text = {v.spelled[i].decode("utf-8", "replace"): math.exp(v.scores[i]) for i in v.ids.tolist()}
+    weight, by_bytes = v.by_text, [math.exp(v.scores[i]) for i in v.byte_ids.tolist()]
+    text = " " + word
+    total = [1.0] + [0.0] * len(text)
+    for e in range(1, len(text) + 1):
+        for s in range(max(0, e - v.longest), e):
+            part = text[s:e]
+            p = weight.get(part, 0.0)
+            if e - s == 1 and part not in weight:
+                p = math.prod(by_bytes[b] for b in part.encode())
+            total[e] += total[s] * p
+    return total[-1]
+
+
+def chance(token, counts, v, end):
+    spelt = math.exp(end) if token is None else segmentations(token, v)
+    return ((counts[token] + 1 if counts[token] else 0) + spelt) / (sum(counts.values()) + len(counts) + 1)
+
+
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary file")
+def test_lm_query_by_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(14)
+    rows = list(enumerate(docs(rng, 60, vocabulary=40, least=1, most=20))) + [(100, None), (101, ""), (102, "Ünseen wörds 日本 stay proper"), (103, "w1 " * 300)]
+    save(table(spark, rows), tmp_path, "documents")
+    got = {r.doc_id: r for r in lm.op6_lm_scores(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    sql = {r[0]: r[1:] for r in con.execute(OP6_COUNTS).fetchall()}
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    counts = Counter(w for i, t in rows if i not in held for w in [*words(t), None])
+    v, end = lm.lattice_model()
+    spelt = {}
+    for i, t in rows:
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, *sql[i][:3])
+        assert math.isclose(r.base_score, sql[i][3], abs_tol=1e-6)
+        tokens = [*words(t), None]
+        logs = [spelt.setdefault(x, math.log10(chance(x, counts, v, end))) for x in tokens]
+        assert math.isclose(r.score, sum(logs), abs_tol=1e-6)
+        alone = sum(math.log10(math.exp(end) if x is None else segmentations(x, v)) for x in tokens)
+        assert math.isclose(r.lattice_score, alone, abs_tol=1e-6)
+        if r.n_known == r.n_tokens:
+            assert r.score >= r.base_score
+    assert any(r.held_out and r.n_known == r.n_tokens for r in got.values())
+
+
 def test_letters_of_all_planes():
     text = "".join(map(chr, range(0x30000, 0x30010)))
     grams, of, has_letter = langid.ngrams(__import__("pyarrow").array([text, chr(0x31350), chr(0x10FFFF)]), langid.BUCKETS, langid.LONGEST)
