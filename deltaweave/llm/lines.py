@@ -22,30 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .plan import block_of, partitions, table
+from .plan import block_of, dealt_blocks, partitions, table
+from .text import Lines, slices
 
-BLANK = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
-KEY = np.dtype([("hi", ">u8"), ("lo", ">u8")])
-
-
-def line_key(line: str, least: int) -> bytes | None:
-    """The 128-bit hash of a line's key, or None where the key is shorter than ``least``."""
-    key = line.strip(BLANK)
-    if len(key) < least:
-        return None
-    return xxhash.xxh3_128_digest(key.translate(_LOWER).encode("utf-8", "surrogatepass") if not key.isascii() else key.encode().lower())
+KEY = np.dtype([("hi", np.uint64), ("lo", np.uint64)])
+#: Lines that a block gathers before it drops its repeats.
+GATHERED = 1 << 20
 
 
 class Runs:
     """Sorted runs of keys in levels; ``fanout`` runs of a level are compacted into one of the next.
 
-    Keys are fixed-size byte strings (numpy ``S16`` would cut zero bytes, so two uint64 are used);
-    each run is kept sorted by (hi, lo).
+    Keys are pairs of uint64; each run is kept sorted by (hi, lo).
     """
 
     def __init__(self, fanout: int = 8):
@@ -91,58 +82,80 @@ def _member(run: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def _native(raw: bytes) -> np.ndarray:
-    """Keys from bytes, in native order."""
-    return np.frombuffer(raw, KEY).astype([("hi", np.uint64), ("lo", np.uint64)])
+def _keys(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    out = np.empty(len(hi), KEY)
+    out["hi"], out["lo"] = hi.view(np.uint64), lo.view(np.uint64)
+    return out
+
+
+def _groups(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by key and doc, and where in it each key begins."""
+    order = np.lexsort((docs, keys["lo"], keys["hi"]))
+    ordered = keys[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return order, new
+
+
+def _keyed_lines(part: pa.RecordBatch, text: int, doc: int, least: int) -> tuple[Lines, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of a slice; the index, key and document of those that have a key and a document."""
+    lines = Lines(part.column(text), least)
+    column = part.column(doc)
+    of_line = np.repeat(np.arange(part.num_rows), np.diff(lines.of))[lines.keyed]
+    known = np.array(column.is_valid())[of_line]
+    docs = np.array(column.fill_null(0), np.int64)[of_line[known]]
+    return lines, lines.keyed[known], _keys(lines.hi[known], lines.lo[known]), docs
 
 
 def _list_keys(least: int):
     """Per block, each key with the smallest doc_id that has it there."""
 
+    def once(keys: list[np.ndarray], docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        k, d = np.concatenate(keys), np.concatenate(docs)
+        order, new = _groups(k, d)
+        return [k[order[new]]], [d[order[new]]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[int, dict[bytes, int]] = {}
+        own: dict[int, tuple[list[np.ndarray], list[np.ndarray], list[int]]] = {}
         for batch in batches:
-            for block, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if doc is None or not text:
-                    continue
-                own = first.setdefault(block, {})
-                for line in text.split("\n"):
-                    key = line_key(line, least)
-                    if key is not None and own.get(key, doc) >= doc:
-                        own[key] = doc
-        for block, own in first.items():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * len(own), pa.int32()),
-                    pa.array(list(own), pa.binary()),
-                    pa.array(list(own.values()), pa.int64()),
-                ],
-                ["block", "key", "doc_id"],
-            )
+            blocks = batch.column(0).to_numpy()
+            for block in np.unique(blocks).tolist():
+                for part in slices(batch.filter(pa.array(blocks == block)), "_text"):
+                    _, _, keys, docs = _keyed_lines(part, 2, 1, least)
+                    gathered = own.setdefault(block, ([np.zeros(0, KEY)], [np.zeros(0, np.int64)], [GATHERED]))
+                    gathered[0].append(keys)
+                    gathered[1].append(docs)
+                    if sum(map(len, gathered[1])) > gathered[2][0]:
+                        k, d = once(*gathered[:2])
+                        own[block] = (k, d, [2 * len(d[0]) + GATHERED])
+        for block, gathered in own.items():
+            (keys,), (docs,) = once(*gathered[:2])
+            for at in range(0, len(keys), 100_000):
+                k = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(k), block, np.int32)), pa.array(k["hi"].view(np.int64)), pa.array(k["lo"].view(np.int64)), pa.array(docs[at : at + 100_000])],
+                    ["block", "hi", "lo", "doc_id"],
+                )
 
     return run
 
 
 def _walk(fanout: int):
-    """Rows (block, key, doc_id) sorted by doc_id -> (block, key) where an earlier document owns the key."""
+    """Rows (block, hi, lo, doc_id) sorted by doc_id -> (block, hi, lo) where an earlier document owns the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(fanout)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = _native(b"".join(batch.column(1).to_pylist()))
-            # by key, and within a key as they came: by doc_id
-            order = np.lexsort((np.arange(len(keys)), keys["lo"], keys["hi"]))
-            keys = keys[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            heads = keys[new]
+            keys = _keys(batch.column(1).to_numpy(), batch.column(2).to_numpy())
+            order, new = _groups(keys, np.arange(len(keys)))  # within a key as they came: by doc_id
+            heads = keys[order[new]]
             known = runs.known(heads)
             runs.add(heads[~known])
             later = ~new | known[np.cumsum(new) - 1]
             hit = pa.array(np.sort(order[later]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit)], ["block", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(hit) for k in range(3)], ["block", "hi", "lo"])
 
     return run
 
@@ -151,25 +164,45 @@ def _rewrite(least: int):
     """One block's texts and the keys that it does not own -> each text without its lost lines."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        foreign = set(right.column("key").to_pylist())
-        docs, texts = left.column("_doc").to_pylist(), left.column("_text").to_pylist()
-        split, first = [], {}
-        for doc, text in zip(docs, texts, strict=True):
-            lines = (text or "").split("\n")
-            keys = [line_key(x, least) for x in lines] if doc is not None else [None] * len(lines)
-            split.append((lines, keys))
-            for k in keys:
-                if k is not None and first.get(k, doc) >= doc:
-                    first[k] = doc
-        total, lost, kept = [], [], []
-        for doc, (lines, keys) in zip(docs, split, strict=True):
-            stay = [x for x, k in zip(lines, keys, strict=True) if k is None or (k not in foreign and first[k] == doc)]
-            total.append(len(lines))
-            lost.append(len(lines) - len(stay))
-            kept.append("\n".join(stay))
-        return pa.table(
-            {"_row": left.column("_row"), "n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(lost, pa.int64()), "kept_text": pa.array(kept, pa.string())}
-        )
+        foreign = _keys(*(right.column(c).to_numpy() for c in ("hi", "lo")))
+        foreign = foreign[np.lexsort((foreign["lo"], foreign["hi"]))]
+        parts, lines, index, keys, docs = [], [], [], [np.zeros(0, KEY)], [np.zeros(0, np.int64)]
+        for whole in left.to_batches():
+            for part in slices(whole, "_text"):
+                of_part = _keyed_lines(part, 2, 1, least)
+                parts.append(part)
+                for gathered, x in zip((lines, index, keys, docs), of_part, strict=True):
+                    gathered.append(x)
+        keys, docs = np.concatenate(keys), np.concatenate(docs)
+        order, new = _groups(keys, docs)
+        group = np.cumsum(new) - 1
+        lost = np.zeros(len(keys), bool)
+        lost[order] = _member(foreign, keys[order[new]])[group] | (docs[order] != docs[order[new]][group])
+        out, at = [], 0
+        for part, own, keyed in zip(parts, lines, index, strict=True):
+            gone = np.zeros(len(own.begin), bool)
+            gone[keyed] = lost[at : at + len(keyed)]
+            at += len(keyed)
+            before = np.concatenate(([0], np.cumsum(gone)))
+            n_lost = before[own.of[1:]] - before[own.of[:-1]]
+            data, cuts = own.data.tobytes(), own.offsets.tolist()
+            kept = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            for k in np.flatnonzero(n_lost).tolist():
+                stay = own.of[k] + np.flatnonzero(~gone[own.of[k] : own.of[k + 1]])
+                kept[k] = b"\n".join([data[a:b] for a, b in zip(own.begin[stay].tolist(), own.end[stay].tolist(), strict=True)])
+            out.append(
+                pa.table(
+                    {
+                        "_row": part.column(3),
+                        "n_lines": pa.array(np.diff(own.of), pa.int64()),
+                        "n_dropped": pa.array(n_lost, pa.int64()),
+                        "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+                    }
+                )
+            )
+        if not out:
+            out.append(pa.table({"_row": left.column("_row"), "n_lines": pa.array([], pa.int64()), "n_dropped": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())}))
+        return pa.concat_tables(out)
 
     return run
 
@@ -180,12 +213,11 @@ def dedup_lines(docs: DataFrame, least: int = 10, fanout: int = 8) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in others])
     doc = F.col("doc_id").cast("long")
-    dealt = docs.select(block_of(F.coalesce(doc, F.xxhash64("text")), blocks).alias("_block"), doc.alias("_doc"), F.col("text").alias("_text"), row.alias("_row")).repartition(
-        blocks, "_block"
-    )
-    keys = dealt.mapInArrow(_list_keys(least), "block int, key binary, doc_id long")  # all columns go in: both uses share one exchange
+    rows = docs.select(doc.alias("_doc"), F.col("text").alias("_text"), row.alias("_row"))
+    dealt = dealt_blocks(rows, blocks, block_of(F.coalesce("_doc", F.xxhash64("_text")), blocks)).select("_block", "_doc", "_text", "_row")
+    keys = dealt.mapInArrow(_list_keys(least), "block int, hi long, lo long, doc_id long")  # all columns go in: both uses share one exchange
     foreign = (
-        keys.repartition(blocks, "key").sortWithinPartitions("doc_id").mapInArrow(_walk(fanout), "block int, key binary")
+        keys.repartition(blocks, "hi", "lo").sortWithinPartitions("doc_id").mapInArrow(_walk(fanout), "block int, hi long, lo long")
     )
     out = f"_row {docs.select(row.alias('r')).schema['r'].dataType.simpleString()}, n_lines long, n_dropped long, kept_text string"
     return dealt.groupBy("_block").cogroup(foreign.groupBy("block")).applyInArrow(_rewrite(least), out)

@@ -25,7 +25,7 @@ _SOLID[[9, 10, 11, 12, 13, 32]] = False
 
 _BASE = 0x9E3779B97F4A7C15  # odd, 5 mod 8: of full multiplicative order modulo 2**64
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE, _BYTE_TOO = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240607, 20240611))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -182,6 +182,54 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+class Lines:
+    """The lines of a slice of texts, split at newlines; a null or empty text is one empty line.
+
+    ``begin``, ``end``: byte positions of each line; ``of``: offsets into the lines by text; ``keyed``: lines that have
+    a key, which is the line without blanks at both ends and with A-Z lower-cased, of ``least`` code points or more;
+    ``hi``, ``lo``: a 128-bit hash of the key of each of these.
+    """
+
+    def __init__(self, column: pa.Array, least: int):
+        self.data, self.offsets = utf8(column)
+        raw = self.data
+        newlines = np.flatnonzero(raw == 10)
+        self.begin = np.sort(np.concatenate((self.offsets[:-1], newlines + 1)), kind="stable")
+        self.end = np.sort(np.concatenate((newlines, self.offsets[1:])), kind="stable")
+        self.of = np.arange(len(self.offsets)) + np.searchsorted(newlines, self.offsets)
+        start, stop = _stripped(raw, self.begin, self.end)
+        size = stop - start
+        enough = size >= 4 * least  # a code point has four bytes at most
+        unsure = np.flatnonzero((size >= least) & ~enough)
+        if len(unsure) and not (raw >= 0x80).any():
+            enough[unsure] = True
+        elif len(unsure):
+            reach = np.arange(4 * least)
+            at = np.minimum(start[unsure][:, None] + reach, len(raw) - 1)
+            enough[unsure] = (((raw[at] & 0xC0) != 0x80) & (reach < size[unsure][:, None])).sum(axis=1) >= least
+        self.keyed = np.flatnonzero(enough & (size > 0))
+        small = _LOWER[raw]
+        start, stop = start[self.keyed], stop[self.keyed]
+        self.hi, self.lo = span_hashes(small, start, stop), span_hashes(small, start, stop, _BYTE_TOO)
+
+
+def _stripped(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without blanks at both ends."""
+    start, stop = begin.copy(), end.copy()
+    for at, other, shift, step in ((start, stop, 0, 1), (stop, start, -1, -1)):
+        live = np.flatnonzero(start < stop)
+        for _ in range(64):
+            live = live[~_SOLID[raw[at[live] + shift]]]
+            if not len(live):
+                break
+            at[live] += step
+            live = live[start[live] < stop[live]]
+        for k in live.tolist():  # very long runs of blanks
+            line = raw[start[k] : stop[k]].tobytes()
+            at[k] += step * (len(line) - len(line.lstrip(b" \t\n\x0b\x0c\r") if step > 0 else line.rstrip(b" \t\n\x0b\x0c\r")))
+    return start, stop
+
+
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points (uint32) of a slice and offsets by text; null texts count as empty."""
     data, offsets = utf8(column)

@@ -29,6 +29,7 @@ def test_same_as_brute_force(spark):
     pool = [f"this is common line {k}" for k in range(12)] + ["short", "", "  ", "tenchars10", "ninechars", "É" * 10, "é" * 9, "a\rb\x0bcdefghijk"]
     rows = [(i, "\n".join(rng.choice(["{}", " {} ", "{}\r"]).format(rng.choice(pool)) for _ in range(rng.randint(0, 8)))) for i in range(120)]
     rows += [(200, None), (201, ""), (202, "THIS IS COMMON LINE 3"), (None, "this is common line 1\nthis is common line 1"), (7, "this is common line 2"), (203, "\n" * 5000 + "x" * 100_000)]
+    rows += [(204, " " * 3000 + "this is common line 4" + "\t" * 3000), (205, "y" * 3_000_000 + "\nsecond of a long text"), (206, "y" * 3_000_000), (207, "\n"), (208, "é" * 10 + "\n" + "é" * 9)]
     rng.shuffle(rows)
     got = lines.dedup_lines(table(spark, rows), fanout=3).select("_row.doc_id", "n_lines", "n_dropped", "kept_text").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
