@@ -9,11 +9,13 @@ Jaccard similarity, sum of least by sum of largest weights. A fingerprint holds
 All texts of a slice are sampled together: draws are made once per distinct word, and each sample
 is one gather and one segmented minimum.
 
-Neighbours by doc_id: ids are cut into ranges at quantiles; each range also gets the first document of
-the next one, so every text is moved once.
+Neighbours by doc_id: rows are dealt by one range exchange on doc_id (then a hash of the text, then the place read, so
+null ids and repeats of one id spread over several tasks), and walked in order. A task settles all pairs within it and leaves its
+first and its last document; these are matched afterwards by the number of the task, so every text is moved once, and
+what is ordered in one place is one integer per task.
 
 Defined results: null and empty texts have the fingerprint of no words, all zeros; null ids come first
-in order; rows of the same id are ordered by text; a single document is its own next.
+in order; rows of the same id are ordered by a hash of the text; a single document is its own next.
 """
 
 from __future__ import annotations
@@ -23,20 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .minhash import grouped
-from .plan import partitions, table, with_rank
-from .text import Words, mix64
+from .plan import cut, partitions, table
+from .text import Words, mix64, slices
 
 SAMPLES = 128
 SLICE_CHARS = 1_500_000
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
-    """In (0, 1), from 32 bits."""
-    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+    """In (0, 1), from the upper 23 of 32 bits: more would round to 1."""
+    return ((bits >> np.uint32(9)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
 
 
 def _pairs(words: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,61 +101,76 @@ def edited(text: str, after: str) -> str:
 
 def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    layout = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+
+    def settled(ids: list, own: list[str], after: list[str], prints_of: list[str], at_own: slice, at_after: slice) -> list[pa.Array]:
+        changed = [edited(a, b) for a, b in zip(own, after, strict=True)]
+        prints = fingerprints([*prints_of, *changed], samples)
+        mine, following, of_changed = prints[at_own], prints[at_after], prints[len(prints_of) :]
+        columns = [
+            ids,
+            [len(x) for x in own],
+            [hashlib.sha256(x.encode()).hexdigest() for x in changed],
+            [x.astype(">u2").tobytes() for x in mine],
+            [x.astype(">u2").tobytes() for x in of_changed],
+            (mine == of_changed).mean(axis=1),
+            (mine == following).mean(axis=1),
+        ]
+        return [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents in order: results of all but the last (kind 0), and the first (1) and last (2) themselves."""
+        task = TaskContext.get().partitionId()
+
+        def rows(kind: int, columns: list[pa.Array], texts: list[str] | None = None) -> pa.RecordBatch:
+            n = len(columns[0])
+            columns = columns + [pa.nulls(n, k) for k in kinds[len(columns) :]]
+            ends = [pa.array([kind] * n, pa.int32()), pa.array([task] * n, pa.int32()), pa.array(texts or [None] * n, pa.string())]
+            return pa.RecordBatch.from_arrays([*columns, *ends], [*names, "kind", "task", "text"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for part in slices(batch, limit=SLICE_CHARS):
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                if not held:
+                    yield rows(1, [pa.array(ids[:1], pa.int64())], texts[:1])
+                else:
+                    ids, texts = [held[0][0], *ids], [held[0][1], *texts]
+                held = [(ids[-1], texts[-1])]
+                if len(texts) > 1:
+                    yield rows(0, settled(ids[:-1], texts[:-1], texts[1:], texts, slice(0, len(texts) - 1), slice(1, len(texts))))
+        if held:
+            yield rows(2, [pa.array([held[0][0]], pa.int64())], [held[0][1]])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=SLICE_CHARS):
+                ids, own, after = (part.column(k).to_pylist() for k in range(3))
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays(settled(ids, own, after, [*own, *after], slice(0, n), slice(n, 2 * n)), names)
+
     n = partitions(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    edges = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.25 / n)))
-    ranged = with_rank(rows, F.col("doc_id"), edges, "range")
-    firsts = ranged.groupBy("range").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    order = Window.orderBy("range")  # one row per range
-    found = F.struct(F.when(F.col("nulls") == 0, F.col("doc_id")).alias("doc_id"))
-    heads = firsts.select(
-        "range", F.coalesce(F.lead(found).over(order), F.first(found).over(order)).alias("next")
-    ).select("range", F.col("next.doc_id").alias("next_id"))
-    following = (
-        F.broadcast(heads)  # one row per range
-        .join(rows, F.col("next_id").eqNullSafe(F.col("doc_id")))
-        .groupBy("range", "next_id")
-        .agg(F.min("text").alias("text"))
-        .select("range", F.lit(1).alias("ahead"), F.col("next_id").alias("doc_id"), "text")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.xxhash64("text").alias("_h"),
+        F.monotonically_increasing_id().alias("_nth"),
     )
-    dealt = (
-        ranged.select("range", F.lit(0).alias("ahead"), "doc_id", "text")
-        .unionByName(following)
-        .repartition(n, "range")
-        .sortWithinPartitions("range", "ahead", "doc_id", "text")
+    order = ["doc_id", "_h", "_nth"]
+    walked = cut(
+        rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(walk, f"{layout}, kind int, task int, text string")
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, 1):
-            ids, texts = group.column(2), group.column(3).to_pylist()
-            last = len(texts) - 1  # the document ahead
-            begin = 0
-            while begin < last:
-                end, chars = begin, 0
-                while end < last and chars < SLICE_CHARS:
-                    chars += len(texts[end])
-                    end += 1
-                own, after = texts[begin:end], texts[begin + 1 : end + 1]
-                changed = [edited(a, b) for a, b in zip(own, after, strict=True)]
-                prints = fingerprints([*own, after[-1], *changed], samples)
-                mine, following, of_changed = prints[: len(own)], prints[1 : len(own) + 1], prints[len(own) + 1 :]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(begin, end - begin).combine_chunks(),
-                        pa.array([len(x) for x in own], pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]),
-                        pa.array([x.astype(">u2").tobytes().hex() for x in mine]),
-                        pa.array([x.astype(">u2").tobytes().hex() for x in of_changed]),
-                        pa.array((mine == of_changed).mean(axis=1)),
-                        pa.array((mine == following).mean(axis=1)),
-                    ],
-                    ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-                )
-                begin = end
-
-    return dealt.mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    firsts = walked.where("kind = 1").select(F.col("task").alias("next"), F.col("text").alias("after"))
+    lasts = walked.where("kind = 2").select("task", "doc_id", "text")
+    by_task, everything = Window.orderBy("task"), Window.partitionBy()
+    following = (
+        lasts.select("task").withColumn("next", F.coalesce(F.lead("task").over(by_task), F.min("task").over(everything)))  # one integer per task
     )
+    last = lasts.join(following, "task").join(firsts, "next").select("doc_id", "text", "after").mapInArrow(pairs, layout)
+    hexed = [F.lower(F.hex(c)).alias(c) if c.endswith("fingerprint") else F.col(c) for c in names]
+    return walked.where("kind = 0").select(*names).unionByName(last).select(*hexed)
 
 
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
