@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import types as T
 
 from deltaweave.llm import maxscore
@@ -24,8 +26,7 @@ def run(spark, rows, k=5, of=5):
 
 
 def test_same_as_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(maxscore, "SHARD", 100)
-    monkeypatch.setattr(maxscore, "BLOCK", 7)
+    monkeypatch.setattr(maxscore, "SHARD_BYTES", 12 * 2 * 40)
     rng = random.Random(1)
     q = lambda x: round(x * 64) / 64  # noqa: E731  exact as a float
     rows = [(i, [q(rng.gauss(0, 0.2)) for _ in range(12)], "x") for i in range(400)]
@@ -39,3 +40,27 @@ def test_few_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0], "x")]) == []
     assert run(spark, [(0, [0.5], "x"), (1, [-0.25], "x"), (2, [-0.25], "x")]) == [(0, 1, 1, -8192), (0, 2, 2, -8192)]
+
+
+def test_conflicting_repeats_and_large_components(spark):
+    rows = [(0, [0.5, 0.25], "x"), (0, [-0.5, 0.25], "x"), (1, [300.0, -2.0], "x"), (2, [-200.0, 1.0], "x"), (3, [1e6, 0.0], "x")]
+    want = sorted((q, r, i, s) for q, r, i, s in brute([(0, [-0.5, 0.25], "x"), *rows[2:]], 5, 5))
+    assert run(spark, rows) == want
+    assert run(spark, list(reversed(rows))) == want
+
+
+def test_shards_prune():
+    """Clustered vectors: thresholds and lengths leave few vectors to be probed to the end."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (20, 32))
+    vectors = np.floor(64 * (centres[rng.integers(0, 20, 3000)] + rng.normal(0, 0.1, (3000, 32)))).astype(np.int16)
+    shard = maxscore.Shard(np.arange(3000), vectors)
+    for q in range(0, 3000, 100):
+        rows, scores = shard.top(q, vectors[q], 5)
+        exact = vectors.astype(np.int64) @ vectors[q].astype(np.int64)
+        exact[q] = -(1 << 60)
+        want = np.lexsort((np.arange(3000), -exact))[:5]
+        assert rows.tolist() == want.tolist() and scores.tolist() == exact[want].tolist()
+        low, _ = shard.top(q, vectors[q], 5, int(scores[-1]))
+        assert low.tolist() == rows.tolist()
+    assert shard.finished < 0.2 * shard.offered
