@@ -67,7 +67,7 @@ def signature(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key (k1, k2) of the set, and its tokens (null without shingles)."""
+    """doc_id, n_shingles, a 128-bit key (k1, k2) of the set, and its tokens, packed (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers(coordinates)
@@ -75,21 +75,28 @@ def sketch(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> DataF
             for part in slices(batch):
                 sets = shingle_sets(part.column(1), width)
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                n = np.array([len(s) for s in sets])
-                tokens = [signature(s, multipliers).view(np.int64) for s in sets if len(s)]
-                flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-                cuts = np.concatenate(([0], np.cumsum(np.where(n > 0, coordinates, 0))))
-                offsets = pa.array(cuts.astype(np.int32), mask=np.append(n == 0, False))
+                tokens = [_packed(signature(s, multipliers)) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(offsets, flat)],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(tokens, pa.binary())],
                     ["doc_id", "n_shingles", "k1", "k2", "tokens"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, tokens array<long>"
+        run, "doc_id long, n_shingles long, k1 long, k2 long, tokens binary"
     )
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """The upper halves of all tokens, which are compared along the lists, before the lower ones."""
+    return tokens.view(np.uint32).reshape(-1, 2).T[::-1].tobytes()
+
+
+def _unpacked(column: pa.Array, coordinates: int) -> np.ndarray:
+    """Tokens (int64, one row per class) of a column of packed ones."""
+    halves = np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, 2, coordinates)
+    return (halves[:, 0].astype(np.uint64) << np.uint64(32) | halves[:, 1]).view(np.int64)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Cut batches sorted by their first ``keys`` columns into whole groups of equal keys."""
     held: list[pa.RecordBatch] = []
@@ -227,11 +234,18 @@ def candidate_groups(classes: DataFrame, total: int, coordinates: int = COORDINA
         forest = Forest()
         for group in grouped(batches, 2):
             if group.num_rows > 1:
-                sig = np.array(group.column("sig").combine_chunks().flatten()).reshape(group.num_rows, coordinates)
+                sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(group.num_rows, coordinates)
                 _merge_list(group.column(2).to_numpy(), sig, match, forest)  # the rep, or the component it is in already
         yield forest.stars()
 
-    postings = classes.select("rep", F.explode("tokens").alias("token"))
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                tokens = _unpacked(part.column(1), coordinates)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), coordinates)), pa.array(tokens.reshape(-1))], ["rep", "token"])
+
+    postings = classes.select("rep", "tokens").mapInArrow(post, "rep long, token long")
     shared = postings.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     mine, facts = lineage.cut(
         with_hot_keys(postings, shared, ["token"], "f", coordinates * total)
@@ -243,7 +257,7 @@ def candidate_groups(classes: DataFrame, total: int, coordinates: int = COORDINA
         longest=F.max(F.array_max(F.transform("all", lambda t: t["f"]))),
     )
     lists = (
-        classes.select("rep", F.transform("tokens", lambda x: F.shiftright(x, 32).cast("int")).alias("sig"))
+        classes.select("rep", F.expr(f"substring(tokens, 1, {4 * coordinates})").alias("sig"))
         .join(mine, "rep")
         .select("rep", "sig", F.explode("all").alias("t"))
         .select(F.col("t.token").alias("token"), "rep", "sig", F.col("t.f").alias("f"))
@@ -278,20 +292,33 @@ def confirmed_groups(docs: DataFrame, classes: DataFrame, loose: DataFrame, widt
     """(id, component): classes chained by exact similarity, within the groups of ``loose`` (id, component)."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(part.column(part.schema.get_field_index("text")), width)
-                cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], ["grp", "rep", "chunks", "shingles"])
+                # rows of one id come together, where a join has sorted them: equal ones count once
+                ids, hashes = part.column(1).to_pylist(), part.column(4).to_pylist()
+                both = [last, *zip(ids, hashes, strict=True)]
+                last = both[-1]
+                part = part.filter(pa.array([a != b for a, b in zip(both[:-1], both[1:], strict=True)]))
+                sets = [s.tobytes() for s in shingle_sets(part.column(part.schema.get_field_index("text")), width)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(sets, pa.binary())], ["grp", "rep", "chunks", "shingles"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = part.column(2).to_pylist()
+                many = [len(s) // 8 for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.repeat(part.column(k).to_numpy(), many)) for k in range(2)), pa.array(np.frombuffer(b"".join(sets), np.int64))], ["grp", "rep", "h"]
+                )
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for group in grouped(batches, 2):
             if group.num_rows > 1:
-                lists = group.column("shingles").combine_chunks()
-                flat, cuts = np.array(lists.flatten()), np.concatenate(([0], np.cumsum(np.array(lists.value_lengths()))))
-                _confirm(group.column("rep").to_numpy(), [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], percent, forest)
+                sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+                _confirm(group.column("rep").to_numpy(), sets, percent, forest)
         yield forest.stars()
 
     n = partitions(docs)
@@ -311,7 +338,7 @@ def confirmed_groups(docs: DataFrame, classes: DataFrame, loose: DataFrame, widt
     asked = members.join(sizes, "component").select(F.col("component").alias("grp"), F.col("id").alias("rep"), "chunks")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text", F.xxhash64("text").alias("_h"))
     sets, facts = lineage.cut(
-        texts.join(asked, "rep").dropDuplicates(["rep", "_h"]).select("grp", "rep", "chunks", "text").mapInArrow(shingled, "grp long, rep long, chunks int, shingles array<long>"),
+        texts.join(asked, "rep").select("grp", "rep", "chunks", "text", "_h").mapInArrow(shingled, "grp long, rep long, chunks int, shingles binary"),
         most=F.max("chunks"),
     )
     if (facts["most"] or 0) <= 1:
@@ -320,10 +347,10 @@ def confirmed_groups(docs: DataFrame, classes: DataFrame, loose: DataFrame, widt
         return out
     large = sets.where("chunks > 1")
     alone = (
-        large.select("grp", "rep", F.explode("shingles").alias("h")).groupBy("grp", "h").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).where("f = 1")
+        large.select("grp", "rep", "shingles").mapInArrow(spread, "grp long, rep long, h long").groupBy("grp", "h").agg(F.count("*").alias("f"), F.min("rep").alias("rep")).where("f = 1")
         .groupBy("grp", "rep").agg(F.count("*").alias("own"))
     )
-    size = F.size("shingles")
+    size = (F.length("shingles") / 8).cast("long")
     # an intersection has no shingle of one's own, and the union no fewer than one's all
     able, _ = lineage.cut(
         large.join(alone, ["grp", "rep"], "left")
