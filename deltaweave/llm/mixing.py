@@ -1,50 +1,77 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document gets an exponential key, ``-ln(u) / weight``, where u depends on seed and doc_id
-alone and the weight is its quality. A source whose target is its size e times over and more takes e
-complete epochs; the fraction that remains takes documents in the order of their keys, up to the
-prefix sum of sizes that is nearest to the budget.
-
-The prefix sums are taken in two levels, so no task holds a source: keys fall into buckets by
-``key / (key + 1)``, bucket totals are summed within a source, and documents within a
-bucket. The number of buckets grows with the number of documents.
+Each document gets an exponential key, ``-ln(u) / weight``, where u depends on seed, doc_id and text
+and the weight is its quality as the quality classifier scores it. A source whose target is its size e times over and more takes e
+complete epochs; the fraction that remains takes documents in the order of their keys as long as the
+prefix sum of sizes stays within the budget. What the first document that does not fit leaves open is filled by a
+second prefix sum over the smaller documents behind it, and so on (``PASSES`` in all); at last one more document is taken if that brings the
+source nearer to its target.
+
+Rows of one doc_id, source and text are counted first and go on as one row with a number, so many repeats are one
+row; they are taken one by one at the edge of a prefix. The prefix sums are taken in two levels, so no task holds a source:
+keys fall into buckets by ``key / (key + 1)``, bucket totals are summed within a source, and documents within a
+bucket. The number of buckets grows with the number of documents. Sources of very many documents are looked up in place.
 
 Defined results: a null text has size 0 and takes no words; null sources are one source, last in
 order; documents with equal keys go by doc_id, then by text hash; a source of size 0 has target 0;
-rows with the same doc_id are sampled apart; an empty table gives no rows; a null doc_id is hashed as null.
+equal rows share a key and are taken apart only at an edge; rows of one doc_id with different texts, or of a null doc_id, are sampled
+apart; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .plan import cut, table
+from ..plans import lineage
+from . import quality
+from .plan import cut, drop, table, with_hot_keys
+from .text import Words, slices
 
-WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one bucket of keys should hold at most on average.
 BUCKET_ROWS = 100_000
+#: Prefix sums of a source, each over what is small enough for the gap that the one before has left.
+PASSES = 3
+#: Equal rows that are written out by one row of a plan.
+SPAN = 10_000
+#: The least weight of a document.
+LEAST = 0.05
+
 
+def _measured(docs: DataFrame, model: quality.AdditiveModel | None) -> DataFrame:
+    """``docs`` (with a column text) and _size, the number of words, and _weight, the quality; one pass."""
+    at = docs.columns.index("text")
 
-def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=quality.SLICE):
+                words = Words(part.column(at), lower=False)
+                scores = model.score(quality.features(part.column(at), words)) if model else np.ones(part.num_rows)
+                columns = [*part.columns, pa.array(words.counts(), pa.int64()), pa.array(np.round(np.maximum(LEAST, scores), 6))]
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "_size", "_weight"])
 
+    layout = T.StructType([*docs.schema.fields, T.StructField("_size", T.LongType()), T.StructField("_weight", T.DoubleType())])
+    return docs.mapInArrow(run, layout)
 
-def quality_weight(text: Column) -> Column:
-    """Between 0.05 and 1: lower, the more of a text is made of symbols."""
-    plain = F.length(F.translate(text, "*$&#%|!", ""))
-    share = plain / F.greatest(F.length(text), F.lit(1))
-    return F.coalesce(F.greatest(F.lit(0.05), 2 * share - 1), F.lit(0.05))
 
+def uniform(seed: str, *keys: str) -> Column:
+    """In (0, 1), by a hash of the seed and the keys."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11)
+    return (bits.cast("double") + 0.5) / float(1 << 53)
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """In (0, 1), by the first 13 hexadecimal digits of an md5."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 13)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+def _named(source: str = "source") -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
-    """source, source_size, target from (source, source_size): shares of the whole size by weights that
+    """All columns of ``sizes`` (source, source_size) and target: shares of the whole size by weights that
     repeat along the sources in code point order (null last), no target above ``limit`` times its size.
 
     Water filling: sources in order of limit per weight reach their limits first; the first k that do
@@ -66,82 +93,128 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int =
         .withColumn("level", F.coalesce(F.max(F.when(F.col("fits"), F.col("level"))).over(everything), F.lit(0.0)))
     )
     # the level rises up to the first source that fits and falls behind it, so the largest that fits is the first
-    return full.select("source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
+    return full.select(*sizes.columns, F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def sample_key(text: Column, seed: str = "mix", quality: Column | None = None) -> Column:
-    return -F.log(uniform(F.col("doc_id"), seed)) / (quality if quality is not None else quality_weight(text))
+def _place() -> Column:
+    return F.struct(F.col("key"), F.col("doc_id"), F.col("tie"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: str = "mix") -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them; same columns.
-
-    A source's decision is its number of epochs and the last place in its order that is taken, so texts
-    need no shuffle: these few values per source meet the documents in a broadcast (up to 10,000 sources) or a join.
-    """
-    place = F.struct("key", "doc_id", "tie")
-    per_source = cut(
-        mix(docs, weights, limit, seed)
-        .withColumn("whole", F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(limit)))
-        .groupBy("source")
-        .agg(F.max("whole").alias("_whole"), F.max(F.when(F.col("copies") > F.col("whole"), place)).alias("_last"))
-        .select(F.col("source").alias("_source"), "_whole", "_last")
+def _extra() -> Column:
+    """How many rows of a group the prefixes of its source take beyond complete epochs; columns of the group (key,
+    doc_id, tie, size, n) and of the decision (passes, one)."""
+    within = lambda p: (
+        F.when((F.col("size") > 0) & (F.col("size") <= p["gap"]) & F.coalesce(_place() > p["after"], F.lit(True)) & (_place() <= p["last"]), F.when(_place() == p["last"], p["taken"]).otherwise(F.col("n")))
+        .otherwise(F.lit(0))
+        .cast("long")
     )
-    few = F.broadcast(per_source) if per_source.count() <= 10_000 else per_source
-    own = F.struct(sample_key(F.col("text"), seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"))
-    copies = F.col("_whole") + F.coalesce(own <= F.col("_last"), F.lit(False)).cast("int")
-    return (
-        docs.join(few, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_copies", copies.cast("int"))
-        .where((F.col("_copies") > 0) & (words_of(F.col("text")) > 0))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = F.aggregate("passes", F.lit(0).cast("long"), lambda so_far, p: so_far + F.coalesce(within(p), F.lit(0).cast("long")))
+    return taken + F.coalesce(_place() == F.col("one"), F.lit(False)).cast("long")
+
+
+def decide(docs: DataFrame, weights: tuple[int, ...], limit: int, seed: str, model: quality.AdditiveModel | None) -> tuple[DataFrame, DataFrame, int]:
+    """(groups, decisions, number of rows): equal documents (doc_id, source, tie, n, size, key, s), and per source what
+    is taken of it (s, source_size, target, epochs, passes, one, rows)."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.xxhash64("text").alias("tie"))
+    groups, facts = lineage.cut(
+        _measured(slim, model)
+        .groupBy("doc_id", "source", "tie")
+        .agg(F.count("*").alias("n"), F.max("_size").alias("size"), F.max("_weight").alias("weight"))
+        .select("doc_id", "source", "tie", "n", "size", (-F.log(uniform(seed, "doc_id", "tie")) / F.col("weight")).alias("key"), _named().alias("s")),
+        rows=F.sum("n"),
+        groups=F.count(F.lit(1)),
     )
+    total = facts["rows"] or 0
+    buckets = max(256, -(-(facts["groups"] or 0) // BUCKET_ROWS))
+    sizes = groups.groupBy("s").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
+    state = cut(
+        targets(sizes, weights, limit)
+        .withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(limit))).otherwise(0).cast("long"))
+        .withColumn("gap", F.col("target") - F.col("epochs") * F.col("source_size"))
+        .withColumn("after", F.lit(None).cast("struct<key:double,doc_id:long,tie:long>"))
+        .withColumn("passes", F.array().cast("array<struct<after:struct<key:double,doc_id:long,tie:long>,gap:double,last:struct<key:double,doc_id:long,tie:long>,taken:long,n:long>>"))
+    )
+    for _ in range(PASSES):
+        open_ = with_hot_keys(groups.drop("source"), state.where("gap > 0 and source_size > 0").select("s", "gap", "after", "rows"), ["s"], "rows", total)
+        fitting = open_.where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & F.coalesce(_place() > F.col("after"), F.lit(True)))
+        keyed = fitting.withColumn("bucket", F.floor(F.col("key") / (F.col("key") + 1) * buckets).cast("long")).withColumn("all", F.col("size") * F.col("n"))
+        by_bucket = keyed.groupBy("s", "bucket").agg(F.sum("all").alias("bucket_size"))
+        before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = by_bucket.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).select("s", "bucket", "offset")
+        within = Window.partitionBy("s", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+        summed = keyed.withColumn("before", F.coalesce(F.sum("all").over(within), F.lit(0))).join(offsets, ["s", "bucket"]).withColumn("before", F.col("before") + F.col("offset"))
+        taken = summed.withColumn("taken", F.least(F.col("n"), F.greatest(F.lit(0), F.floor((F.col("gap") - F.col("before")) / F.col("size")))).cast("long"))
+        found = taken.groupBy("s").agg(
+            F.sum(F.col("taken") * F.col("size")).alias("words"),
+            F.max_by(F.struct(_place().alias("last"), "taken", "n"), F.when(F.col("taken") > 0, _place())).alias("edge"),
+            F.min(F.when(F.col("taken") < F.col("n"), _place())).alias("stop"),
+        )
+        step = F.struct("after", "gap", F.col("edge.last").alias("last"), F.col("edge.taken").alias("taken"), F.col("edge.n").alias("n"))
+        after = cut(
+            state.join(found, "s", "left").select(
+                "s", "source", "source_size", "rows", "target", "epochs",
+                (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"),
+                # without a group that did not fit, nothing is left behind the prefix
+                F.when(F.col("stop").isNotNull(), F.col("stop")).when(F.col("edge").isNotNull(), F.struct(F.lit(float("inf")).alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tie"))).otherwise(F.col("after")).alias("after"),
+                F.when(F.col("edge").isNotNull(), F.array_append("passes", step)).otherwise(F.col("passes")).alias("passes"),
+            )
+        )
+        drop(state)
+        state = after
+    # one document more where that is nearer: the smallest that still has a row to give
+    open_ = with_hot_keys(groups.drop("source"), state.where(f"gap > 0 and epochs < {limit}").select("s", "gap", "passes", F.lit(None).cast("struct<key:double,doc_id:long,tie:long>").alias("one"), "rows"), ["s"], "rows", total)
+    least = open_.where((F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")) & (_extra() < F.col("n"))).groupBy("s").agg(F.min_by(_place(), F.struct("size", _place())).alias("one"))
+    decisions = cut(state.join(least, "s", "left").select("s", "source_size", "target", "epochs", "passes", "one", "rows"))
+    drop(state)
+    return groups, decisions, total
+
+
+def _times(rows: DataFrame, n: Column) -> DataFrame:
+    """Each row ``n`` times, numbered from 1 in ``_nth``; very many repeats are dealt to several tasks."""
+    few = rows.where(n <= SPAN).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))))
+    parts = rows.where(n > SPAN).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / SPAN).cast("long")))).repartition("doc_id", "tie", "_part")
+    many = parts.withColumn("_nth", F.explode(F.sequence(F.col("_part") * SPAN + 1, F.least(n.cast("long"), (F.col("_part") + 1) * SPAN)))).drop("_part")
+    return few.unionByName(many)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: str = "mix", model: quality.AdditiveModel | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (how often it is taken) and taken (copies times size) per document.
+
+    ``model`` scores the quality that weighs documents; without one all weigh the same.
+    """
+    groups, decisions, total = decide(docs, weights, limit, seed, model)
+    joined = with_hot_keys(groups, decisions, ["s"], "rows", total).withColumn("extra", _extra())
+    one = _times(joined.select("doc_id", "source", "tie", "n", "size", "source_size", "target", "epochs", "extra"), F.col("n"))
+    copies = F.when(F.col("size") > 0, F.col("epochs") + (F.col("_nth") <= F.col("extra")).cast("long")).otherwise(0).cast("long")
+    return one.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: str = "mix", quality: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often it is taken), taken (copies times
-    size), and its place in the source's order (key, tie), per document."""
-    text = F.col("text")
-    rows = cut(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            "source",
-            words_of(text).alias("size"),
-            sample_key(text, seed, quality).alias("key"),
-            F.xxhash64("text").alias("tie"),
-        )
-    )
-    sources = cut(
-        targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
-        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    )
-    buckets = max(256, -(-rows.count() // BUCKET_ROWS))
-    # rows of size 0 change no sum, so they go anywhere
-    spread = F.when(F.col("size") > 0, F.col("key") / (F.col("key") + 1)).otherwise(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 20)) / float(1 << 20))
-    keyed = rows.withColumn("bucket", F.floor(spread * buckets).cast("long"))
-    by_bucket = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_bucket.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).select(
-        F.col("source").alias("s"), F.col("bucket").alias("b"), "offset"
-    )
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    summed = keyed.withColumn("upto", F.sum("size").over(within))
-    known = F.broadcast(sources) if sources.count() <= 10_000 else sources
-    placed = summed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn(
-        "upto", F.col("upto") + F.col("offset")
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, seed: str = "mix", model: quality.AdditiveModel | None = None) -> DataFrame:
+    """The documents that the mix takes, each as often as it takes them; same columns.
+
+    A source's decision is its number of epochs and the edges of its prefixes, so texts need no shuffle: these few values per
+    source meet the documents where they lie. Only where an edge parts equal rows are those rows numbered.
+    """
+    _, decisions, total = decide(docs, weights, limit, seed, model)
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text").alias("text"))
+    rows = _measured(renamed, model).withColumns(
+        {"doc_id": F.col(names["doc_id"]).cast("long"), "tie": F.xxhash64("text"), "size": F.col("_size"), "n": F.lit(1).cast("long"), "s": F.coalesce(F.concat(F.lit("="), F.col(names["source"])), F.lit(""))}
     )
-    out = placed.select("doc_id", F.col("source").alias("of"), "size", "upto", "key", "tie").join(known, F.col("of").eqNullSafe(F.col("source")))
-    # a document is in the prefix nearest to the budget if at least half of it lies below
-    chosen = (F.col("upto") - F.col("size") / 2.0 <= F.col("budget")) & (F.col("budget") > 0) & (F.col("epochs") < limit)
-    copies = (F.col("epochs") + chosen.cast("long")).cast("long")
-    return out.select(
-        "doc_id", F.col("of").alias("source"), "size", "source_size", "target", "key", "tie", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies")
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+    rows = rows.withColumn("key", -F.log(uniform(seed, "doc_id", "tie")) / F.col("_weight")).drop("text", "_size", "_weight")
+    joined = with_hot_keys(rows.where("size > 0"), decisions, ["s"], "rows", total)
+    # rows at an edge that takes some of several equal rows, or where one more is taken
+    parted = F.exists("passes", lambda p: (_place() == p["last"]) & (p["taken"] < p["n"])) | F.coalesce(_place() == F.col("one"), F.lit(False))
+    parted = F.coalesce(parted, F.lit(False))
+    whole = F.transform("passes", lambda p: F.struct(p["after"].alias("after"), p["gap"].alias("gap"), p["last"].alias("last"), F.lit(1).cast("long").alias("taken"), p["n"].alias("n")))
+    plain = joined.where(~parted).withColumn("passes", whole).withColumn("_copies", F.col("epochs") + _extra())
+    equal = Window.partitionBy("s", "key", "doc_id", "tie").orderBy(F.to_json(F.struct(*[n for c, n in names.items() if c != "text"])))
+    edge = joined.where(parted).withColumn("_copies", F.col("epochs") + (F.row_number().over(equal) <= _extra()).cast("long"))
+    out = plain.unionByName(edge).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken"
-    )
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.training_labels(spark, sf_dir))
+    return mix(docs, model=model).select("doc_id", "size", "source_size", "target", "taken")

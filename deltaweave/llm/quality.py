@@ -6,7 +6,7 @@ is left get a table over two coarser binnings each. A score is the logistic of t
 scoring is a few vectorised gathers per slice of texts.
 
 The model is fitted on the driver, on at most ``sample`` labelled rows (a parameter; 40,000 unless
-set), chosen by a hash of their ids; all texts are scored.
+set): the first by a hash of their ids, labels and texts, however often an id or a label is repeated. All texts are scored.
 
 Defined results: null and empty texts have all features 0 and get the score of that; rows without
 labels or with a null doc_id teach nothing; labels other than 0 and 1 are ignored, repeated
@@ -43,9 +43,9 @@ FEATURES = [
 ]
 
 
-def features(column: pa.Array) -> np.ndarray:
-    """One row of FEATURES (float32) per text."""
-    cased = Words(column, lower=False)
+def features(column: pa.Array, cased: Words | None = None) -> np.ndarray:
+    """One row of FEATURES (float32) per text; ``cased`` are its words as they stand, if known already."""
+    cased = Words(column, lower=False) if cased is None else cased
     raw, offsets, of = cased.data, cased.offsets, cased.of
     size = np.diff(offsets).astype(float)
     hashes = cased.hashes()
@@ -192,27 +192,27 @@ class AdditiveModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
-    """A model of label 1 from documents and rows (doc_id, label), on about ``sample`` of these at most.
+    """A model of label 1 from documents and rows (doc_id, label), on ``sample`` of these at most.
 
-    The sampled ids, bounded by the parameter, are broadcast; only their texts are read for features.
+    The sampled labels, bounded by the parameter, are broadcast; only their texts are read for features.
     """
     usable = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("double").alias("label"))
-    n = usable.count()
-    if n > sample:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 x = features(part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2)], ["doc_id", "features", "label"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2), part.column(3)], ["doc_id", "features", "label", "h"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(F.broadcast(usable), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, features array<float>, label double").toArrow()
+    rows = texts.join(F.broadcast(usable), "doc_id").select("doc_id", "text", "label", F.xxhash64("text").alias("h"))
+    # documents that repeat an id add rows again, so the bound is drawn once more
+    found = rows.mapInArrow(run, "doc_id long, features array<float>, label double, h long").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "h").limit(sample).toArrow()
     x = np.array(found.column("features").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     y = found.column("label").to_numpy()
-    order = np.lexsort((y, found.column("doc_id").to_numpy()))  # whatever order the tasks came in
+    order = np.lexsort((found.column("h").to_numpy(), y, found.column("doc_id").to_numpy()))  # whatever order the tasks came in
     return AdditiveModel().fit(x[order], y[order])
 
 

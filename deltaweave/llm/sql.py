@@ -58,31 +58,6 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-OP8 = rf"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-    -ln((('0x' || substr(md5('mix' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496)
-      / coalesce(greatest(0.05, 2 * (length(translate(text, '*$&#%|!', '')) / greatest(length(text), 1)) - 1), 0.05) AS key
-  FROM documents
-), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
-), f AS (
-  SELECT *, 3.0 * source_size AS cap, (sum(source_size) OVER ()
-      - coalesce(sum(3.0 * source_size) OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(w) OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM s
-), t AS (
-  SELECT source, source_size, least(cap, w * (SELECT level FROM f WHERE level * w <= cap ORDER BY level DESC LIMIT 1))::DOUBLE AS target FROM f
-), p AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target / nullif(t.source_size, 0)) AS epochs,
-    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, round(target, 4) AS target,
-  coalesce((epochs + CASE WHEN epochs < 3 AND target > epochs * source_size AND upto - size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END) * size, 0)::BIGINT AS taken
-FROM p
-"""
-
 OP10 = r"""
 WITH b AS (
   SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM pages
@@ -116,7 +91,6 @@ FROM o
 """
 
 ORACLES = {
-    "op8_mix_sources": OP8,
     "op10_warc_revisits": OP10,
     "op3_topk_search": OP3,
     "op1_minhash_dedup": OP1,
