@@ -15,8 +15,8 @@ __all__ = ["BLOCK_BYTES", "block_of", "bucketed", "components", "cut", "dealt_bl
 
 #: Bytes of stored text that one group or one task of a text stage should hold.
 BLOCK_BYTES = 24 << 20
-#: Rows of one key that a task may hold at least; more make the key a hot one if it also has a thousandth of all rows.
-HOT_ROWS = 1000
+#: Rows of one key that a task may hold in any case; more make the key a hot one if it also has a thousandth of all rows.
+HOT_ROWS = 250
 
 
 def findable(spark: SparkSession) -> None:

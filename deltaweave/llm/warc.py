@@ -7,13 +7,15 @@ are compared, and the stored answer's headers are updated by those that a 304 ma
 The as-of join is made of windows over slim rows (keys, times, validators; no payloads): records of
 a URL are dealt into periods, a window within a period finds the latest response so far, and the
 last response of every period is carried to later ones. A URL that has a large share of all records
-is spread over its periods. Payloads are joined once, by the id of the response that was found.
+is spread over its periods. Payloads follow at the end: only responses that some revisit resolves to are moved, by id and
+digest, and a response with very many revisits is copied to several tasks.
 
 Defined results: a record without a time or URL resolves nothing and is not resolved; of responses
 at the same time the one with the larger record_id counts; a response at the very time of a revisit
-is earlier if its record_id is smaller; rows that repeat a record_id count once; header maps may be null.
+is earlier if its record_id is smaller; header maps may be null. Rows that repeat a record_id count once: of several with other
+content the one that is first by type (responses before revisits), time, URL and digest of url, time, headers and payload, everywhere.
 Rows without a record_id are never repeats: each such revisit gives a row, and such responses are found like others, as if
-their id were smaller than all (of several at the same time, one by their validators and a digest of what they hold).
+their id were smaller than all (of several at the same time, one by their validators and that digest).
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .plan import table, with_rank
+from .plan import cut, table, with_rank
 
 #: Headers of a 304 that replace the stored ones; all others of the 304 are ignored.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "set-cookie", "vary", "warning")
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content ref gclid fbclid".split()
 PERIODS = 256
+#: Revisits of one response that one task joins with its payload.
+REVISITS = 10_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -50,15 +54,11 @@ def _clean_etag(tag: Column) -> Column:
 
 
 def _digest() -> Column:
-    """What a response without an id holds, in place of the id."""
+    """Of what a record holds, whatever the order of its headers."""
     headers = F.to_json(F.array_sort(F.map_entries("headers")))
     return F.sha2(F.to_json(F.struct("url", F.unix_micros("captured").alias("at"), headers.alias("headers"), "payload")).cast("binary"), 256)
 
 
-def _key(record_id: str, digest: Column | str) -> Column:
-    return F.coalesce(F.col(record_id).cast("string"), F.col(digest) if isinstance(digest, str) else digest)
-
-
 def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
     """For every revisit: record_id, canonical_url, response_id, outcome, headers, payload.
 
@@ -78,10 +78,13 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
             _clean_etag(F.element_at("headers", "etag")).alias("etag"),
             F.element_at("headers", "last-modified").alias("modified"),
             F.when(F.col("record_type") == "revisit", F.col("headers")).alias("fresh"),
-            F.when(no_id & (F.col("record_type") == "response"), _digest()).alias("digest"),
+            _digest().alias("digest"),
             F.when(no_id, F.monotonically_increasing_id()).alias("nth"),  # keeps rows without an id apart, and spreads them
         )
-        .dropDuplicates(["record_id", "nth"])
+    )
+    order = F.struct("is_revisit", "at", "canonical_url", "digest")
+    slim = cut(
+        slim.groupBy("record_id", "nth").agg(F.min_by(F.struct(*[c for c in slim.columns if c not in ("record_id", "nth")]), order).alias("r")).select("record_id", "r.*")
     )
     splits = slim.where("at is not null").approxQuantile("at", [k / periods for k in range(1, periods)], 0.5 / periods)
     edges = sorted(set(splits))
@@ -90,7 +93,7 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
     found = F.struct("at", "record_id", "etag", "modified", "digest")
     response = F.when(~F.col("is_revisit"), found)
     so_far = Window.partitionBy("canonical_url", "period").orderBy("at", "record_id", "is_revisit", "etag", "modified", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    near = dealt.select("record_id", "is_revisit", "canonical_url", "etag", "modified", "period", "fresh", F.last(response, ignorenulls=True).over(so_far).alias("near")).where(
+    near = dealt.select("record_id", "is_revisit", "canonical_url", "at", "etag", "modified", "period", "fresh", F.last(response, ignorenulls=True).over(so_far).alias("near")).where(
         "is_revisit"
     )
     # the last response of every period and the periods that have revisits, one row each
@@ -107,30 +110,44 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
         )
         .otherwise("resolved")
     )
-    matched = joined.select("record_id", "canonical_url", F.col("response.record_id").alias("response_id"), outcome.alias("outcome"), "fresh", _key("response.record_id", "response.digest").alias("key"))
-    missing = slim.where("is_revisit and (at is null or canonical_url is null)").select(
-        "record_id",
-        "canonical_url",
-        F.lit(None).cast("long").alias("response_id"),
-        F.lit("no earlier response").alias("outcome"),
-        F.lit(None).cast("map<string,string>").alias("headers"),
-        F.lit(None).cast("string").alias("payload"),
+    matched = cut(
+        joined.select(
+            "record_id", "canonical_url", F.col("response.record_id").alias("response_id"), outcome.alias("outcome"), "fresh",
+            F.col("response.digest").alias("digest"), F.xxhash64("record_id", "canonical_url", "at").alias("spread"),
+        )
+    )
+    nothing = {"headers": F.lit(None).cast("map<string,string>"), "payload": F.lit(None).cast("string")}
+    columns = ["record_id", "canonical_url", "response_id", "outcome", "headers", "payload"]
+    missing = (
+        slim.where("is_revisit and (at is null or canonical_url is null)")
+        .select("record_id", "canonical_url", F.lit(None).cast("long").alias("response_id"), F.lit("no earlier response").alias("outcome"))
+        .withColumns(nothing)
+    )
+    unresolved = matched.where("outcome <> 'resolved'").withColumns(nothing).select(*columns)
+    good = matched.where("outcome = 'resolved'")
+    wanted = good.groupBy(F.col("response_id").alias("id"), F.col("digest").alias("key")).agg(F.ceil(F.count("*") / REVISITS).cast("int").alias("copies"))
+    busy = F.broadcast(wanted.where("copies > 1").orderBy(F.desc("copies"), "id", "key").limit(1000).select("id", "key", "copies"))
+    # a response is joined with its revisits in as many tasks as these need; the busiest thousand are known everywhere
+    dealt = good.join(busy, F.col("response_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key")), "left").select(
+        *good.columns, F.pmod(F.col("spread"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy")
     )
+    spread = F.coalesce(F.col("copies"), F.lit(1))
     answers = (
         records.where("record_type = 'response'")
-        .groupBy(_key("record_id", F.when(no_id, _digest())).alias("key"))
-        .agg(F.first("headers").alias("stored"), F.first("payload").alias("payload"))
+        .select(F.col("record_id").alias("of"), _digest().alias("content"), F.col("headers").alias("stored"), "payload")
+        .join(wanted, F.col("of").eqNullSafe(F.col("id")) & (F.col("content") == F.col("key")), "left_semi")
+        .dropDuplicates(["of", "content"])
+        .join(busy, F.col("of").eqNullSafe(F.col("id")) & (F.col("content") == F.col("key")), "left")
+        .select("of", "content", "stored", "payload", F.explode(F.sequence(F.lit(0), spread - 1)).alias("of_copy"))
     )
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     permitted = F.map_filter(F.coalesce("fresh", empty), lambda k, _: k.isin(*PERMITTED))
     stored = F.coalesce("stored", empty)
     merged = F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(permitted, k)), permitted)
-    good = F.col("outcome") == "resolved"
-    return (
-        matched.join(answers, "key", "left")
-        .select("record_id", "canonical_url", "response_id", "outcome", F.when(good, merged).alias("headers"), F.when(good, F.col("payload")).alias("payload"))
-        .unionByName(missing)
+    resolved = dealt.join(answers, F.col("response_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("content")) & (F.col("copy") == F.col("of_copy")), "left").select(
+        "record_id", "canonical_url", "response_id", "outcome", merged.alias("headers"), "payload"
     )
+    return resolved.unionByName(unresolved).unionByName(missing)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:

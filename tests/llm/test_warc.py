@@ -100,3 +100,38 @@ def test_query_with_pages_without_an_id_against_sql(spark, tmp_path):
     want = con.execute(OP10).fetchall()
     got = warc.op10_warc_revisits(spark, str(tmp_path)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(got) == 29 + 7
+
+
+def test_repeats_with_other_content_in_any_order(spark):
+    url = "http://a.com/x"
+    rows = [
+        (1, "response", url, at(0), {"etag": '"1"'}, "one"),
+        (1, "response", url, at(0), {"etag": '"2"'}, "two"),
+        (1, "response", url, at(0), {"etag": '"1"'}, "one"),
+        (2, "revisit", url, at(5), {"etag": '"1"'}, None),
+        (2, "revisit", url, at(6), {"etag": '"2"'}, None),
+        (3, "revisit", url, at(7), {"etag": '"2"'}, None),
+        (3, "response", url, at(9), {"etag": '"3"'}, "three"),
+        (4, "revisit", url, at(11), {"etag": '"3"'}, None),
+    ]
+    answers = []
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = run(spark, order)
+        answers.append(sorted((k, r.outcome, r.payload, r.response_id) for k, r in got.items()))
+    assert answers[0] == answers[1] == answers[2]
+    # of both contents of record 1 the same one is compared and returned; record 3 is a response, no revisit
+    (two, four) = answers[0]
+    assert two[0] == 2 and two[1:3] in (("resolved", "one"), ("etag mismatch", None)) and four == (4, "resolved", "three", 3)
+
+
+def test_busy_responses_and_long_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "REVISITS", 3)
+    long = "p" * 2_000_000
+    rows = [(0, "response", "http://hot.example/", at(0), {"etag": '"e"'}, long), (None, "response", "http://no-id.example/", at(0), {}, "anonymous")]
+    rows += [(k, "revisit", "http://hot.example/", at(k), {"etag": '"e"'}, None) for k in range(1, 40)]
+    rows += [(100 + k, "revisit", "http://no-id.example/", at(k), {}, None) for k in range(1, 20)]
+    rows += [(200 + k, "revisit", "http://nowhere.example/", at(k), {}, None) for k in range(30)]
+    got = run(spark, rows, periods=4)
+    assert len(got) == 39 + 19 + 30
+    assert all(got[k].payload == long for k in range(1, 40)) and all(got[100 + k].payload == "anonymous" for k in range(1, 20))
+    assert all(got[200 + k].outcome == "no earlier response" for k in range(30))
