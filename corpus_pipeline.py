@@ -1,24 +1,32 @@
 """Corpus pipeline: quality filter, line dedup, near-dedup, source mixing, subword encoding.
 
 Each stage takes (spark, docs, sf_dir) and gives what the next one gets, written as Parquet in between.
-All but the last return the columns of ``docs``; only `labels` is read besides. The mix takes some
-documents more than once, and those rows stand as often.
+All but the last return the columns of ``docs``; only `labels` and, for the classifier, `documents` are read besides. The mix
+takes some documents more than once, and those rows stand as often.
+
+Defined results, as their operators state them: null and empty texts have the score of no words and no pieces, are one empty line,
+are no near duplicates and are never taken by the mix; rows without a doc_id own no lines and are no near duplicates; of rows that
+repeat a doc_id near-dedup keeps one; ties go to the smallest doc_id (lines, near-dedup) or by key, doc_id and text (mix); empty
+tables give no rows; further columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from deltaweave.llm import lines, minhash, mixing, pieces, plan, quality
 
 THRESHOLD = 0.3
 
 
+def _classifier(spark: SparkSession, sf_dir: str) -> quality.AdditiveModel:
+    """Fitted to the labels and texts of all documents: the same in every stage that asks."""
+    return quality.fit(plan.table(spark, sf_dir, "documents"), quality.training_labels(spark, sf_dir))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    model = quality.fit(docs, quality.training_labels(spark, sf_dir))
-    return quality.keep_scored(docs, model, THRESHOLD)
+    return quality.keep_scored(docs, _classifier(spark, sf_dir), THRESHOLD)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +36,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return minhash.without_near_duplicates(docs, width=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mixed_documents(docs)
+    """Documents as often as the mix takes them, weighed by the scores of the first stage's classifier."""
+    return mixing.mixed_documents(docs, model=_classifier(spark, sf_dir))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
