@@ -23,7 +23,7 @@ def jacobi(constant: float = 0.2) -> KernelSpec:
 
 def markov_chain() -> KernelSpec:
     """Mass 1 in every vertex moves along row-normalised weights; it never settles, so give a number of rounds."""
-    return KernelSpec("Markovchain", "sum", lambda k: F.lit(1.0), lambda d, w, n: w * d, 0.0)
+    return KernelSpec("MarkovChain", "sum", lambda k: F.lit(1.0), lambda d, w, n: w * d, 0.0)
 
 
 def adsorption(starts: int = 100, damping: float = 0.1, amount: float = 10.0) -> KernelSpec:
@@ -46,17 +46,17 @@ def widest_path(source: int = 0) -> KernelSpec:
 
 def max_label() -> KernelSpec:
     """The largest id among the vertices that reach a vertex, itself included."""
-    return KernelSpec("ConComp", "max", lambda k: k.cast("double"), lambda d, w, n: d, -1.0)
+    return KernelSpec("ConComp", "max", lambda k: k.cast("long"), lambda d, w, n: d, -(1 << 63), dtype="long")
 
 
 def min_label() -> KernelSpec:
-    return KernelSpec("ConCompMin", "min", lambda k: k.cast("double"), lambda d, w, n: d, INFINITY)
+    return KernelSpec("ConCompMin", "min", lambda k: k.cast("long"), lambda d, w, n: d, (1 << 63) - 1, dtype="long")
 
 
 RUNNERS: dict[str, Callable[..., KernelSpec]] = {
     "Pagerank": pagerank,
     "Jacobi": jacobi,
-    "Markovchain": markov_chain,
+    "MarkovChain": markov_chain,
     "Adsorption": adsorption,
     "Katz": katz,
     "ShortestPath": shortest_path,

@@ -3,8 +3,9 @@
 One superstep is one job: pending vertices (all, or a top portion by priority) fold their delta
 into their value and send messages along their out-edges; messages are combined per target, partly
 before the shuffle, and meet the state in a left join. Only vertices with something pending join
-the edges. Edges are dealt by source once and stay cached that way, so a superstep shuffles the frontier (or
-Spark broadcasts it, when it measures it to be small), the messages and the slim state. The new state
+the edges. Edges are written once, dealt by source into parts of bounded size and cached that way, so a superstep shuffles the
+frontier (or Spark broadcasts it, when it measures it to be small), the messages and the slim state. The edges of a hub (more than
+a thousandth of all) are spread over several parts, and what the hub sends goes to each of these. The new state
 is a table in the shared folder, written in the same job that counts what is pending.
 """
 
@@ -21,24 +22,32 @@ from ..plans.lineage import cut, drop
 from ..types import KernelSpec
 
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
+#: Edges of one part, and of one source in one part; a source with more (and with a thousandth of all edges) is a hub.
+PART_EDGES, HUB_EDGES = 4_000_000, 100_000
+#: Vertices that a scheduled superstep may take by one sort; beyond, a cutoff is found first.
+SORTED = 100_000
 #: Rounds after which an accumulative program without a limit of its own counts as one that does not settle.
 ROUNDS = 200
 
 
 @dataclass
 class Schedule:
-    """Which pending vertices a superstep takes: a ``portion`` of all vertices by priority, at least one."""
+    """Which pending vertices a superstep takes: a ``portion`` of all vertices by priority, at least one.
+
+    ``by_degree`` multiplies priorities by the out-degree."""
 
     portion: float = 1.0
     policy: str = "eager"
     alpha: float = 1.0
+    by_degree: bool = False
 
 
 @dataclass
 class Stop:
     """When the loop ends. Selective programs end when nothing is pending. Accumulative ones end when the
     absolute deltas sum to ``epsilon`` at most ('delta'), when the sum of values moves by no more
-    ('diff'), or when it reaches ``epsilon`` ('sum'). With ``max_rounds`` all end after so many, settled or
+    ('diff'), when it reaches ``epsilon`` ('sum'), or when the sum of squared values moves by less ('squares'). Both kinds end by 'pairs' when
+    the sum of known values moves by less than ``epsilon`` and their number does not change, which may be before the fixpoint. With ``max_rounds`` all end after so many, settled or
     not. Without, a result is always settled: selective programs need no more rounds than there are
     vertices, unless a cycle improves itself (an error), and accumulative ones that are not settled
     after ``ROUNDS`` are an error."""
@@ -62,12 +71,33 @@ def with_degree(edges: DataFrame) -> DataFrame:
     return edges.join(degree, "src")
 
 
-def prepare_edges(spec: KernelSpec, edges: DataFrame, parts: int | None = None) -> DataFrame:
+@dataclass
+class PreparedEdges:
+    """Edges (src, dst, weight, degree, salt) dealt by (src, salt); ``hubs`` (src, salts) are at most a thousand, or None."""
+
+    frame: DataFrame
+    hubs: DataFrame | None
+    table: DataFrame
+
+    def unpersist(self) -> None:
+        self.frame.unpersist()
+        drop(self.table)
+
+
+def prepare_edges(spec: KernelSpec, edges: DataFrame, parts: int | None = None) -> PreparedEdges:
     """Edges dealt by source and cached that way, with degrees where the program needs them."""
-    n = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = edges.select("src", "dst", "weight") if "weight" in edges.columns else edges.select("src", "dst", F.lit(1.0).alias("weight"))
     slim = with_degree(slim) if spec.needs_degree else slim.withColumn("degree", F.lit(1.0))
-    return slim.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    written, facts = cut(slim, n=F.count(F.lit(1)))
+    limit = max(HUB_EDGES, facts["n"] // 1000)
+    degrees = written.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    hubs = [(r.src, -(-r.n // limit)) for r in degrees.collect()] if facts["n"] > limit else []  # at most a thousand
+    n = parts or max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["n"] // PART_EDGES))
+    salted, known = written.withColumn("salt", F.lit(0)), None
+    if hubs:
+        known = F.broadcast(edges.sparkSession.createDataFrame(hubs, "src long, salts int"))
+        salted = written.join(known, "src", "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return PreparedEdges(salted.repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK), known, written)
 
 
 def vertices_of(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -77,66 +107,100 @@ def vertices_of(edges: DataFrame, vertices: DataFrame | None = None) -> DataFram
 
 
 def initial_state(spec: KernelSpec, vertices: DataFrame) -> DataFrame:
-    return vertices.select("id", spec.seed(F.col("id")).cast("double").alias("delta"), F.lit(spec.identity).alias("value"))
+    return vertices.select("id", spec.seed(F.col("id")).cast(spec.dtype).alias("delta"), spec.nothing.alias("value"))
 
 
 def pending(spec: KernelSpec, delta: Column | None = None, value: Column | None = None) -> Column:
     """Whether a vertex has work to do."""
     delta, value = F.col("delta") if delta is None else delta, F.col("value") if value is None else value
-    return spec.better(delta, value) if spec.selective else delta != F.lit(spec.identity)
+    return spec.better(delta, value) if spec.selective else delta != spec.nothing
 
 
-def messages(spec: KernelSpec, senders: DataFrame, edges: DataFrame) -> DataFrame:
+def messages(spec: KernelSpec, senders: DataFrame, edges: PreparedEdges) -> DataFrame:
     """(id, message): what the deltas of ``senders`` (id, delta) send, combined per target."""
-    sent = senders.select(F.col("id").alias("src"), "delta").join(edges, "src")
+    sent = senders.select(F.col("id").alias("src"), "delta")
+    if edges.hubs is None:
+        sent = sent.withColumn("salt", F.lit(0))
+    else:
+        salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        sent = sent.join(edges.hubs, "src", "left").select("src", "delta", F.explode(salts).alias("salt"))
     carried = spec.message(F.col("delta"), F.col("weight"), F.col("degree"))
-    return sent.select(F.col("dst").alias("id"), carried.alias("m")).groupBy("id").agg(_FOLD[spec.combine]("m").alias("message"))
+    return sent.join(edges.frame, ["src", "salt"]).select(F.col("dst").alias("id"), carried.alias("m")).groupBy("id").agg(_FOLD[spec.combine]("m").alias("message"))
 
 
-def top_portion(spec: KernelSpec, state: DataFrame, schedule: Schedule, total: int) -> DataFrame:
-    """Ids of the pending vertices that a superstep takes (at least one)."""
-    take = max(1, int(total * schedule.portion))
-    ranked = state.where(pending(spec)).select("id", priority(spec, schedule.policy, schedule.alpha).alias("p"))
-    return ranked.orderBy(F.desc("p"), "id").limit(take).select("id")
+def top_portion(spec: KernelSpec, state: DataFrame, schedule: Schedule, total: int, at_once: int | None = None) -> DataFrame:
+    """Ids of the pending vertices that a superstep takes (at least one): by priority, then by id.
 
-
-def superstep(spec: KernelSpec, state: DataFrame, edges: DataFrame, schedule: Schedule, total: int) -> DataFrame:
+    Up to ``at_once`` of them are found by one sort with a limit. Of more, those above an approximate cutoff are taken as they
+    lie, and only the band around the cutoff is sorted for the rest; the result is the same.
+    """
+    take = max(1, int(total * schedule.portion))
+    ranked = state.where(pending(spec)).select("id", priority(spec, schedule.policy, schedule.alpha, F.col("degree") if schedule.by_degree else None).alias("p"))
+    first = lambda df, n: df.orderBy(F.desc("p"), "id").limit(n).select("id")
+    if take <= (SORTED if at_once is None else at_once):
+        return first(ranked, take)
+    n = ranked.count()
+    if n <= take:
+        return ranked.select("id")
+    share, margin = 1 - take / n, 0.0005
+    while True:
+        high, low = ranked.agg(F.percentile_approx("p", [min(1.0, share + margin), max(0.0, share - margin)], 10_000)).first()[0]
+        above, within = ranked.agg(F.count_if(F.col("p") > high), F.count_if((F.col("p") <= high) & (F.col("p") >= low))).first()
+        if above <= take <= above + within:
+            band = ranked.where((F.col("p") <= high) & (F.col("p") >= low))
+            return ranked.where(F.col("p") > high).select("id").union(first(band, take - above))
+        margin *= 4
+
+
+def superstep(spec: KernelSpec, state: DataFrame, edges: PreparedEdges, schedule: Schedule, total: int) -> DataFrame:
     """The state after the scheduled vertices have worked."""
     if schedule.portion < 1:
-        now = state.join(top_portion(spec, state, schedule, total).withColumn("taken", F.lit(True)), "id", "left")
+        ranked = state
+        if schedule.by_degree:
+            degrees = edges.table.groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("degree"))
+            ranked = state.join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0.0)))
+        now = state.join(top_portion(spec, ranked, schedule, total).withColumn("taken", F.lit(True)), "id", "left")
         taken = F.coalesce("taken", F.lit(False))
     else:
         now, taken = state, pending(spec)
     now = now.select("id", "delta", "value", taken.alias("taken"))
+    if spec.before is not None:
+        now = now.withColumn("delta", F.when(F.col("taken"), spec.before(F.col("delta"), F.col("value")).cast(spec.dtype)).otherwise(F.col("delta")))
     got = messages(spec, now.where("taken"), edges)
     joined = now.join(got, "id", "left")
     if spec.selective:
         best = F.least if spec.combine == "min" else F.greatest
         delta, value = best("delta", "message"), F.when(F.col("taken"), F.col("delta")).otherwise(F.col("value"))
     else:
-        kept = F.when(F.col("taken"), F.lit(spec.identity)).otherwise(F.col("delta"))
-        delta = kept + F.coalesce("message", F.lit(0.0))
+        kept = F.when(F.col("taken"), spec.nothing).otherwise(F.col("delta"))
+        delta = kept + F.coalesce("message", F.lit(0).cast(spec.dtype))
         value = F.when(F.col("taken"), F.col("value") + F.col("delta")).otherwise(F.col("value"))
-    return joined.select("id", delta.alias("delta"), value.alias("value"))
+    return joined.select("id", delta.cast(spec.dtype).alias("delta"), value.cast(spec.dtype).alias("value"))
 
 
 def term_report(spec: KernelSpec) -> dict[str, Column]:
-    """Progress of a state: finite values summed, values that are none, pending vertices, absolute deltas."""
-    known = (F.col("value") != F.lit(spec.identity)) & (F.abs(F.col("value")) != float("inf"))
+    """Progress of a state: finite values summed, their squares, values that are none, pending vertices, absolute deltas."""
+    value, delta = F.col("value").cast("double"), F.col("delta").cast("double")
+    known = (F.col("value") != spec.nothing) & (F.abs(value) != float("inf"))
     return {
-        "total": F.coalesce(F.sum(F.when(known, F.col("value"))), F.lit(0.0)),
+        "total": F.coalesce(F.sum(F.when(known, value)), F.lit(0.0)),
+        "squares": F.coalesce(F.sum(F.when(known, value * value)), F.lit(0.0)),
         "unknown": F.count_if(~known),
         "pending": F.count_if(pending(spec)),
-        "moving": F.coalesce(F.sum(F.abs(F.when(F.abs(F.col("delta")) != float("inf"), F.col("delta")))), F.lit(0.0)),
+        "moving": F.coalesce(F.sum(F.when((F.col("delta") != spec.nothing) & (F.abs(delta) != float("inf")), F.abs(delta))), F.lit(0.0)),
         "rows": F.count(F.lit(1)),
     }
 
 
 def _settled(spec: KernelSpec, stop: Stop, now: dict, before: dict | None) -> bool:
-    if spec.selective:
-        return now["pending"] == 0
     if now["pending"] == 0:
         return True
+    if stop.rule == "pairs":
+        return before is not None and before["unknown"] == now["unknown"] and abs(now["total"] - before["total"]) < stop.epsilon
+    if spec.selective:
+        return False
+    if stop.rule == "squares":
+        return before is not None and abs(now["squares"] - before["squares"]) < stop.epsilon
     if stop.rule == "delta":
         return now["moving"] <= stop.epsilon
     if stop.rule == "diff":
@@ -167,11 +231,11 @@ def finished(spec: KernelSpec, stop: Stop, result: Result) -> Result:
     return result
 
 
-def iterate(spec: KernelSpec, state: DataFrame, edges: DataFrame, schedule: Schedule | None = None, stop: Stop | None = None) -> Result:
+def iterate(spec: KernelSpec, state: DataFrame, edges: PreparedEdges, schedule: Schedule | None = None, stop: Stop | None = None) -> Result:
     """Run supersteps from a given state (id, delta, value) over prepared edges."""
     schedule, stop = schedule or Schedule(), stop or Stop()
     report = term_report(spec)
-    now, facts = cut(state.select("id", F.col("delta").cast("double").alias("delta"), F.col("value").cast("double").alias("value")), **report)
+    now, facts = cut(state.select("id", F.col("delta").cast(spec.dtype).alias("delta"), F.col("value").cast(spec.dtype).alias("value")), **report)
     history, before, rounds = [dict(facts, round=0)], None, 0
     most = most_rounds(spec, stop, facts["rows"])
     while not (settled := _settled(spec, stop, facts, before)) and rounds < most:
@@ -200,12 +264,39 @@ def run(
         held.unpersist()
 
 
+def metrics_table(spark, result: Result) -> DataFrame:
+    """One row per superstep: round, pending, unknown, rows, total, squares, moving."""
+    layout = "round int, pending long, unknown long, rows long, total double, squares double, moving double"
+    names = [c.split()[0] for c in layout.split(", ")]
+    return spark.createDataFrame([tuple(m[c] for c in names) for m in result.metrics], layout)
+
+
 def min_in_edge(edges: DataFrame) -> DataFrame:
     """The least weight of the in-edges of every vertex; infinity without any. One aggregation, no loop."""
     least = edges.groupBy(F.col("dst").alias("id")).agg(F.min("weight").alias("value"))
     return vertices_of(edges).join(least, "id", "left").select("id", F.coalesce("value", F.lit(float("inf"))).alias("value"))
 
 
+def neighbour_labels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, value): the least label among in-neighbours, round by round, own labels not counted; vertices without in-edges go.
+
+    Ends when the sum of labels stays the same, or after ``rounds``.
+    """
+    spec = KernelSpec("NeighbourLabels", "min", lambda k: k, lambda d, w, n: d, (1 << 63) - 1, dtype="long")
+    held = prepare_edges(spec, edges)
+    total = F.sum(F.col("delta").cast("decimal(38,0)"))
+    now, facts = cut(vertices_of(edges).select("id", F.col("id").alias("delta")), total=total, n=F.count(F.lit(1)))
+    done = 0
+    while done < (facts["n"] + 1 if rounds is None else rounds):
+        after, found = cut(messages(spec, now, held).select("id", F.col("message").alias("delta")), total=total, n=F.count(F.lit(1)))
+        drop(now)
+        same, now, facts, done = rounds is None and found == facts, after, found, done + 1
+        if same:
+            break
+    held.unpersist()
+    return now.select("id", F.col("delta").alias("value"))
+
+
 def power_iteration(edges: DataFrame, damping: float = 0.8, rounds: int = 20, epsilon: float = 0.0) -> DataFrame:
     """PageRank by whole rounds from rank 1: each gives every vertex (1 - damping) + damping * its in-flow."""
     spec = KernelSpec("PowerIteration", "sum", lambda k: F.lit(1.0), lambda d, w, n: d * damping / n, 0.0, True)
@@ -225,6 +316,62 @@ def power_iteration(edges: DataFrame, damping: float = 0.8, rounds: int = 20, ep
     return now.select("id", F.col("delta").alias("value"))
 
 
+def pair_graph(edges: DataFrame) -> DataFrame:
+    """(a, b, i_ab, links_a, links_b) with a <= b for all pairs that can be alike: each vertex with itself, and pairs that some vertex
+    with itself leads to. i_ab is the product of in-degrees (of a vertex with itself: 0 without in-edges)."""
+    once = edges.select("src", "dst").distinct()
+    into = once.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    out = once.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("links"))
+    ids = vertices_of(edges).join(into, "id", "left").join(out, "id", "left").select(
+        "id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("links", F.array().cast("array<long>")).alias("links")
+    )
+    seen, frontier = ids.select(F.col("id").alias("a"), F.col("id").alias("b")), None
+    links = once.select(F.col("src").alias("v"), F.col("dst").alias("to"))
+    seen, facts = cut(seen, n=F.count(F.lit(1)))
+    frontier = seen
+    while facts["n"]:
+        found = (
+            frontier.join(links.select(F.col("v").alias("a"), F.col("to").alias("x")), "a")
+            .join(links.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+            .where("x <> y")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            .distinct()
+            .join(seen, ["a", "b"], "left_anti")
+        )
+        frontier, facts = cut(found, n=F.count(F.lit(1)))
+        seen, _ = cut(seen.union(frontier))
+    first, second = (ids.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("links").alias(f"links_{c}")) for c in "ab")
+    return seen.join(first, "a").join(second, "b").select("a", "b", (F.col("n_a") * F.col("n_b")).alias("i_ab"), "links_a", "links_b")
+
+
+def simrank_pairs(pairs: DataFrame, decay: float = 0.8, rounds: int = 5, least: float = 0.0) -> DataFrame:
+    """(a, b, value) with a < b: SimRank over a pair graph, where a pair sends its value to the pairs of its links.
+
+    Messages of an accumulative program over pairs: what arrives is multiplied by ``decay`` over the number of pairs of in-neighbours.
+    A pair of one vertex is alike by 1 throughout.
+    """
+    ends = pairs.select("a", "b", F.explode("links_a").alias("x"), "links_b").select("a", "b", "x", F.explode("links_b").alias("y"))
+    to = ends.where("x <> y and (a <> b or x < y)").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    edges, _ = cut(to.groupBy("a", "b", "x", "y").agg(F.count("*").cast("double").alias("times")))
+    parts = pairs.where("a < b").select(F.col("a").alias("x"), F.col("b").alias("y"), "i_ab")
+    same = pairs.where("a = b").select("a", "b", F.lit(1.0).alias("value"))
+    now, _ = cut(same)
+    for _ in range(rounds):
+        scored = (
+            now.join(edges, ["a", "b"])
+            .groupBy("x", "y")
+            .agg(F.sum(F.col("value") * F.col("times")).alias("whole"))
+            .join(parts, ["x", "y"])
+            .select(F.col("x").alias("a"), F.col("y").alias("b"), (F.col("whole") * decay / F.col("i_ab")).alias("value"))
+            .where(F.col("value") > least)
+        )
+        after, _ = cut(scored.union(same))
+        drop(now)
+        now = after
+    drop(edges)
+    return now.where("a < b")
+
+
 def simrank(edges: DataFrame, decay: float = 0.8, rounds: int = 5, least: float = 0.0) -> DataFrame:
     """(a, b, value) with a < b: how alike two vertices are by their in-neighbours, after so many rounds.
 

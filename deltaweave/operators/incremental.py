@@ -46,23 +46,52 @@ def split_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _tight(spec: KernelSpec, edges: DataFrame, state: DataFrame) -> DataFrame:
     """Edges that carry exactly the value of their target."""
-    sources = state.where(F.col("value") != F.lit(spec.identity)).select(F.col("id").alias("src"), F.col("value").alias("vs"))
-    targets = state.where(F.col("value") != F.lit(spec.identity)).select(F.col("id").alias("dst"), F.col("value").alias("vd"))
+    sources = state.where(F.col("value") != spec.nothing).select(F.col("id").alias("src"), F.col("value").alias("vs"))
+    targets = state.where(F.col("value") != spec.nothing).select(F.col("id").alias("dst"), F.col("value").alias("vd"))
     carried = spec.message(F.col("vs"), F.col("weight"), F.lit(1.0))
     return edges.join(sources, "src").join(targets, "dst").where(carried == F.col("vd")).select("src", "dst", "weight")
 
 
+#: Frontiers of a closure that are kept apart before they are put together.
+FRONTIERS = 8
+
+
 def _closure(start: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Ids that can be reached from ``start`` (id) along edges, itself included."""
-    reached, facts = cut(start.select("id").distinct(), n=F.count(F.lit(1)))
-    frontier = reached
+    """Ids that can be reached from ``start`` (id) along edges, itself included.
+
+    A round writes its frontier alone; frontiers are put together in levels, so a row is rewritten a few times at most.
+    """
+    count = F.count(F.lit(1))
+    frontier, facts = cut(start.select("id").distinct(), n=count)
+    levels: list[list[DataFrame]] = [[frontier]]
+
+    def reached() -> DataFrame:
+        found = [df for level in levels for df in level]
+        out = found[0]
+        for df in found[1:]:
+            out = out.union(df)
+        return out
+
     for _ in range(max_rounds):
         if not facts["n"]:
-            return reached
-        found = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(reached, "id", "left_anti")
-        frontier, facts = cut(found, n=F.count(F.lit(1)))
-        if facts["n"]:
-            reached, _ = cut(reached.union(frontier))
+            return reached()
+        found = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(reached(), "id", "left_anti")
+        frontier, facts = cut(found, n=count)
+        if not facts["n"]:
+            continue
+        levels[0].append(frontier)
+        at = 0
+        while len(levels[at]) >= FRONTIERS:
+            whole = levels[at][0]
+            for df in levels[at][1:]:
+                whole = whole.union(df)
+            merged, _ = cut(whole)
+            drop(*[df for df in levels[at] if df is not frontier])
+            levels[at] = []
+            if at + 1 == len(levels):
+                levels.append([])
+            levels[at + 1].append(merged)
+            at += 1
     raise RuntimeError("closure did not settle")
 
 
@@ -75,9 +104,9 @@ def repair_state(spec: KernelSpec, old_edges: DataFrame, new_edges: DataFrame, p
     support in turn, stay). Pending are the vertices that kept a value and have a new, changed or
     reset target, so the loop starts from them alone.
     """
-    seeds = vertices_of(new_edges, prior).withColumn("seed", spec.seed(F.col("id")).cast("double"))
+    seeds = vertices_of(new_edges, prior).withColumn("seed", spec.seed(F.col("id")).cast(spec.dtype))
     known, _ = cut(
-        seeds.join(prior.select("id", "value"), "id", "left").select("id", "seed", F.coalesce("value", F.lit(spec.identity)).alias("value"))
+        seeds.join(prior.select("id", "value"), "id", "left").select("id", "seed", F.coalesce("value", spec.nothing).alias("value"))
     )
     tight_old, _ = cut(_tight(spec, old_edges, known))
     tight_new, _ = cut(_tight(spec, new_edges, known))
@@ -102,7 +131,7 @@ def repair_state(spec: KernelSpec, old_edges: DataFrame, new_edges: DataFrame, p
     marked = (
         known.join(reset.withColumn("reset", F.lit(True)), "id", "left")
         .join(senders.withColumn("sends", F.lit(True)), "id", "left")
-        .withColumn("kept", F.when(F.col("reset"), F.lit(spec.identity)).otherwise(best("value", "seed")))
+        .withColumn("kept", F.when(F.col("reset"), spec.nothing).otherwise(best("value", "seed")))
     )
     # a vertex that sends again is pending because its value is put back to the identity and its delta is the value
     ready = marked.select(
@@ -112,7 +141,7 @@ def repair_state(spec: KernelSpec, old_edges: DataFrame, new_edges: DataFrame, p
         ready.select(
             "id",
             F.when(F.col("reset"), best("_kept", "seed")).otherwise(F.col("_kept")).alias("delta"),
-            F.when(F.col("reset") | F.col("sends"), F.lit(spec.identity)).otherwise(F.col("_kept")).alias("value"),
+            F.when(F.col("reset") | F.col("sends"), spec.nothing).otherwise(F.col("_kept")).alias("value"),
         )
     )
     for done in (tight_old, tight_new):
@@ -128,7 +157,7 @@ def residual_state(spec: KernelSpec, new_edges: DataFrame, prior: DataFrame) ->
     flow = messages(spec, values.select("id", F.col("value").alias("delta")), held)
     out, _ = cut(
         values.join(flow, "id", "left").select(
-            "id", (spec.seed(F.col("id")).cast("double") + F.coalesce("message", F.lit(0.0)) - F.col("value")).alias("delta"), "value"
+            "id", (spec.seed(F.col("id")).cast(spec.dtype) + F.coalesce("message", F.lit(0.0)) - F.col("value")).alias("delta"), "value"
         )
     )
     held.unpersist()

@@ -60,5 +60,5 @@ def best_contributions(contributions: DataFrame, combine: str) -> DataFrame:
 
 def contributions_of(spec, edges: DataFrame, state: DataFrame) -> DataFrame:
     """What every edge carries for the values of its source (selective programs): dst, src, contrib."""
-    values = state.where(F.col("value") != F.lit(spec.identity)).select(F.col("id").alias("src"), F.col("value").alias("v"))
+    values = state.where(F.col("value") != spec.nothing).select(F.col("id").alias("src"), F.col("value").alias("v"))
     return edges.join(values, "src").select("dst", "src", spec.message(F.col("v"), F.col("weight"), F.lit(1.0)).alias("contrib"))

@@ -13,12 +13,15 @@ from .operators import adjacency as A
 from .operators import critical as C
 from .operators import fixpoint as P
 from .operators import incremental as I
+from .operators import provenance as V
 from .operators import snapshot as N
 from .operators import state as S
 from .plans import graphs as G
 from .plans.lineage import scratch
+from .programs import Job, execute
 from .sources import generate, text
 from .sql import ORACLES, ROUNDS
+from .streaming.changes import EvolvingResult, read_change_stream
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -35,13 +38,18 @@ def _rounded(state: DataFrame, with_delta: bool = True) -> DataFrame:
     return state.select("id", *out)
 
 
-def _reached(state: DataFrame) -> DataFrame:
-    return state.where(F.abs("value") < INF).select("id", "value")
+def _finite(state: DataFrame, *others: str) -> DataFrame:
+    """All vertices; null where nothing was reached."""
+    return state.select("id", *[F.when(F.abs(c) < INF, F.col(c)).alias(c) for c in ("value", *others)])
+
+
+def _folder(spark, name: str) -> str:
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def scan_adjacency(spark, d):
     """Lists of a text graph: written, read back, and put together again."""
-    path = f"{scratch(spark)}/graph-{uuid.uuid4().hex}"
+    path = _folder(spark, "graph")
     edges = G.handoff(spark, d)
     text.write_graph(edges, P.vertices_of(edges), path)
     back, _ = text.read_graph(spark, path, weighted=True)
@@ -72,7 +80,7 @@ def symmetrize(spark, d):
 
 def inject_loops(spark, d):
     edges = G.handoff(spark, d)
-    return A.with_loops(A.without_loops(edges), edges.select(F.col("src").alias("id")).where("id % 10 = 0"), 0.0)
+    return A.with_loops(A.without_loops(edges), P.vertices_of(edges), 0.0)
 
 
 def _sssp(spark, d):
@@ -80,7 +88,7 @@ def _sssp(spark, d):
 
 
 def sssp(spark, d):
-    return _reached(_sssp(spark, d))
+    return _finite(_sssp(spark, d))
 
 
 def sssp_critical_edges(spark, d):
@@ -89,7 +97,7 @@ def sssp_critical_edges(spark, d):
 
 def sssp_rebuild(spark, d):
     edges = G.handoff(spark, d)
-    return _reached(C.rebuild_distances(edges, C.shortest_path_edges(edges, _sssp(spark, d)), SOURCE))
+    return _finite(C.rebuild_distances(edges, C.shortest_path_edges(edges, _sssp(spark, d)), SOURCE))
 
 
 def _widest(spark, d):
@@ -97,7 +105,8 @@ def _widest(spark, d):
 
 
 def widest_path(spark, d):
-    return _widest(spark, d).where("value > 0").select("id", F.when(F.col("value") < INF, F.col("value")).alias("value"))
+    """All vertices: the width, 0 where nothing leads to, null for the source."""
+    return _finite(_widest(spark, d))
 
 
 def widest_critical_edges(spark, d):
@@ -117,11 +126,11 @@ def cc_min_label(spark, d):
 
 
 def wcc(spark, d):
-    return _labels(K.max_label(), A.symmetrise(G.busy_trade(spark, d)))
+    return _labels(K.max_label(), A.symmetrise(G.supplies(spark, d)))
 
 
 def min_in_edge(spark, d):
-    return _reached(P.min_in_edge(G.handoff(spark, d)))
+    return _finite(P.min_in_edge(G.handoff(spark, d)))
 
 
 def pagerank_k(spark, d):
@@ -169,23 +178,27 @@ def _updated(spec, spark, d):
 
 
 def incr_sssp(spark, d):
-    return _reached(_updated(K.shortest_path(SOURCE), spark, d))
+    return _finite(_updated(K.shortest_path(SOURCE), spark, d))
 
 
 def incr_widest(spark, d):
-    return _updated(K.widest_path(SOURCE), spark, d).where("value > 0").select("id", F.when(F.col("value") < INF, F.col("value")).alias("value"))
+    return _finite(_updated(K.widest_path(SOURCE), spark, d))
 
 
 def incr_cc(spark, d):
     return _updated(K.max_label(), spark, d).select("id", F.col("value").cast("long").alias("label"))
 
 
+#: Damping of the PageRank that is run to its fixpoint; the earlier result is rough, the update is not.
+DAMPING = 0.5
+
+
 def incr_pagerank(spark, d):
-    """To a fixpoint on the changed graph, from the fixpoint before; compared at four digits."""
-    edges, stop = G.handoff(spark, d), P.Stop("delta", 1e-4, 60)
-    prior = P.run(K.pagerank(), edges, stop=stop).state
-    now = I.update(K.pagerank(), edges, G.handoff_changes(spark, d), prior, stop=stop)[1].state
-    return now.agg(F.count("*").alias("n"), F.round(F.sum("value"), 1).alias("total"), F.round(F.max("value"), 2).alias("most"))
+    """To a fixpoint on the changed graph, from a rough one before, per vertex. The error of all values together is below 2e-7."""
+    edges = G.handoff(spark, d)
+    prior = P.run(K.pagerank(DAMPING), edges, stop=P.Stop("delta", 1e-2)).state
+    now = I.update(K.pagerank(DAMPING), edges, G.handoff_changes(spark, d), prior, stop=P.Stop("delta", 1e-7))[1].state
+    return now.select("id", F.round("value", 4).alias("value"))
 
 
 def _first_rounds(spark, d, k=3):
@@ -219,7 +232,7 @@ def priority_policies(spark, d):
 
 def scheduled_sssp(spark, d):
     """Shortest paths a portion at a time: the same fixpoint."""
-    return _reached(P.run(K.shortest_path(SOURCE), G.handoff(spark, d), schedule=P.Schedule(0.02, "eager")).state)
+    return _finite(P.run(K.shortest_path(SOURCE), G.handoff(spark, d), schedule=P.Schedule(0.02, "eager")).state)
 
 
 def term_report(spark, d):
@@ -286,23 +299,236 @@ def partition_contract(spark, d):
 
 def snapshot_restore(spark, d):
     """Shortest paths stopped after two rounds, restored from the snapshot, and finished."""
-    folder = f"{scratch(spark)}/snapshots-{uuid.uuid4().hex}"
+    folder = _folder(spark, "snapshots")
     spec, edges = K.shortest_path(SOURCE), P.prepare_edges(K.shortest_path(SOURCE), G.handoff(spark, d))
     N.iterate_with_snapshots(spec, P.initial_state(spec, P.vertices_of(edges)), edges, folder, every=2, stop=P.Stop(max_rounds=2))
     state, _ = N.restore(spark, folder)
-    return _reached(P.iterate(spec, state, edges).state)
+    return _finite(P.iterate(spec, state, edges).state)
+
+
+def scan_unweighted(spark, d):
+    """As `scan_adjacency`, without weights."""
+    path = _folder(spark, "graph")
+    edges = G.handoff(spark, d)
+    text.write_graph(edges, P.vertices_of(edges), path, weighted=False)
+    back, vertices = text.read_graph(spark, path, weighted=False)
+    lists = A.adjacency(back)
+    ends = F.array_join(F.transform("links", lambda x: x["end"].cast("string")), " ")
+    return vertices.join(lists, "id", "left").select("id", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n"), F.coalesce(ends, F.lit("")).alias("ends"))
+
+
+def result_files(spark, d):
+    """A result written in parts and read back."""
+    path = _folder(spark, "result")
+    text.write_result(_sssp(spark, d), path, parts=8)
+    return _finite(text.read_result(spark, path), "delta")
+
+
+def result_summary(spark, d):
+    return text.result_summary(K.shortest_path(SOURCE), _sssp(spark, d))
+
+
+def label_files(spark, d):
+    """Labels are whole numbers in files too."""
+    path = _folder(spark, "labels")
+    text.write_result(P.run(K.max_label(), G.handoff(spark, d)).state, path, parts=4)
+    return text.read_result(spark, path, "long").select("id", F.col("value").alias("label"))
+
+
+def change_files(spark, d):
+    """Changes written both ways and read back."""
+    path = _folder(spark, "changes")
+    text.write_changes(G.handoff_changes(spark, d), path, both_ways=True)
+    return text.read_changes(spark, path).select("type", "src", "dst", "weight")
+
+
+def critical_files(spark, d):
+    path = _folder(spark, "critical")
+    text.write_critical_edges(sssp_critical_edges(spark, d), path, parts=3)
+    return text.read_critical_edges(spark, path)
+
+
+def neighbor_files(spark, d):
+    """What every in-neighbour contributes, written and read back."""
+    path = _folder(spark, "neighbours")
+    spec, edges = K.shortest_path(SOURCE), G.handoff(spark, d)
+    text.write_in_neighbours(S.contributions_of(spec, edges, _sssp(spark, d)), path)
+    return text.read_in_neighbours(spark, path)
+
+
+def part_files(spark, d):
+    """Keys of each file of a graph in eight parts, dealt anew to five; a line in a wrong file is an error."""
+    path, to = _folder(spark, "parts"), _folder(spark, "parts")
+    edges = G.handoff(spark, d)
+    text.write_graph(edges, P.vertices_of(edges), path, parts=8)
+    text.repartition_lines(spark, path, to, 5)
+    count = lambda where, n: text.routed(spark, where, n).groupBy("part").agg(F.count("*").alias("n")).withColumn("parts", F.lit(n))
+    return count(path, 8).unionByName(count(to, 5))
+
+
+def routed_scan(spark, d):
+    """A reader that holds eight files to the keys of five parts keeps the lines that are in place in both."""
+    path = _folder(spark, "parts")
+    edges = G.handoff(spark, d)
+    text.write_graph(edges, None, path, parts=8)
+    back, _ = text.read_graph(spark, path, True, parts=5, misplaced="drop")
+    return back
+
+
+def partition_rules(spark, d):
+    """Pairs of ids by their first id, and ids as numbers: keys per part."""
+    edges = G.handoff(spark, d).select("src", F.concat_ws("_", "src", "dst").alias("pair"))
+    by_pair = edges.groupBy(text.part_of(F.col("pair"), 6, "pair").alias("part")).agg(F.count("*").alias("n")).withColumn("rule", F.lit("pair"))
+    return by_pair.unionByName(edges.groupBy(text.part_of(F.col("src"), 6).alias("part")).agg(F.count("*").alias("n")).withColumn("rule", F.lit("mod")))
+
+
+def accumulate_sum(spark, d):
+    state = G.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(1.0).alias("delta"), F.lit(0.0).alias("value"))
+    arrivals = G.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 13).cast("double").alias("v"))
+    return S.accumulate(S.accumulate(state, arrivals, "sum"), arrivals, "sum", "value").select("id", "delta", "value")
+
+
+def priority_accumulative(spark, d):
+    """All formulas after three rounds of Jacobi, whose deltas have both signs."""
+    edges = A.without_loops(A.normalise(G.trade(spark, d), 0.5))
+    spec, state = K.jacobi(), _rounds(K.jacobi(), edges, 3).join(A.out_degree(edges), "id")
+    return state.select(
+        "id",
+        F.round(priority(spec, "value", 2.0), 6).alias("by_value"),
+        F.round(priority(spec, "difference"), 6).alias("by_difference"),
+        F.round(priority(spec, "value", 2.0, F.col("degree")), 6).alias("by_degree"),
+        F.round(priority(spec, "eager"), 6).alias("eager"),
+    )
+
+
+def stop_rules(spark, d):
+    """Rounds and total of PageRank by each rule that looks at values."""
+    edges, out = G.handoff(spark, d), None
+    for rule, epsilon in (("diff", 50.0), ("sum", 900.0), ("squares", 60.0)):
+        result = P.run(K.pagerank(), edges, stop=P.Stop(rule, epsilon))
+        row = result.state.agg(F.lit(rule).alias("rule"), F.lit(result.rounds).alias("rounds"), F.round(F.sum("value"), 4).alias("total"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def stop_by_pairs(spark, d):
+    """Shortest paths until neither the sum nor the number of known distances moves, per round so far."""
+    result = P.run(K.shortest_path(SOURCE), G.handoff(spark, d), stop=P.Stop("pairs", 1e-6))
+    return _finite(result.state).withColumn("rounds", F.lit(result.rounds))
+
+
+def superstep_metrics(spark, d):
+    """Progress of the first six rounds of shortest paths."""
+    result = P.run(K.shortest_path(SOURCE), G.handoff(spark, d), stop=P.Stop(max_rounds=6))
+    return P.metrics_table(spark, result).select("round", "pending", "unknown", "rows", "total")
+
+
+def power_until(spark, d):
+    """Power iteration until the sum of ranks moves by 20 at most."""
+    return _rounded(P.power_iteration(G.handoff(spark, d), rounds=60, epsilon=20.0), False)
+
+
+def neighbor_labels(spark, d):
+    """Least labels among in-neighbours, own labels not counted, after eight rounds."""
+    return P.neighbour_labels(G.handoff(spark, d), ROUNDS).select("id", F.col("value").alias("label"))
+
+
+def sssp_supplies(spark, d):
+    """Shortest paths between suppliers and parts: nearly every vertex is reached."""
+    return _finite(P.run(K.shortest_path(1), A.symmetrise(G.supplies(spark, d))).state)
+
+
+def top_portion_cutoff(spark, d):
+    """A tenth of all vertices, found by a cutoff instead of a sort."""
+    spec, state = K.pagerank(), _rounds(K.pagerank(), G.handoff(spark, d), 2)
+    ranked = state.select("id", F.round("delta", 9).alias("delta"), "value")
+    return P.top_portion(spec, ranked, P.Schedule(0.1), ranked.count(), at_once=0)
+
+
+def remembered_sssp(spark, d):
+    """Weights change; values that rested on edges that grew get worse through what is remembered."""
+    spec, edges = K.shortest_path(SOURCE), G.handoff(spark, d)
+    before = V.remembered(spec, edges, _sssp(spark, d))
+    changes = G.handoff_changes(spark, d).where(F.col("type").isin("I", "D"))
+    now = V.update_remembered(spec, edges, changes, before)[1].state
+    return _finite(now).join(now.select("id", "best_from"), "id")
+
+
+def simrank_pairs_k(spark, d):
+    """SimRank over a pair graph that was written and read back."""
+    path = _folder(spark, "pairs")
+    text.write_pairs(P.pair_graph(G.busy_trade(spark, d)), path, parts=4)
+    return P.simrank_pairs(text.read_pairs(spark, path), rounds=4).select("a", "b", F.round("value", 6).alias("value"))
+
+
+def streamed_sssp(spark, d):
+    """Two batches of changes that arrive as files; the result after the last, and how many rows each batch changed."""
+    folder, arrived = _folder(spark, "stream"), _folder(spark, "arrived")
+    changes = G.handoff_changes(spark, d)
+    text.write_changes(changes.where("src % 2 = 0").coalesce(1), f"{arrived}/a")
+    text.write_changes(changes.where("src % 2 = 1").coalesce(1), f"{arrived}/b")
+    stream = EvolvingResult(spark, folder, K.shortest_path(SOURCE))
+    stream.start(G.handoff(spark, d))
+    stream.follow(read_change_stream(spark, f"{arrived}/*/*.txt"), f"{folder}/checkpoint").awaitTermination()
+    return _finite(stream.state())
+
+
+def unfinished_snapshots(spark, d):
+    """Two snapshots are committed, a third is not: what is removed, and what the last committed one holds."""
+    folder = _folder(spark, "snapshots")
+    state = G.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("value"))
+    N.save(state.where("id % 2 = 0"), folder, 1)
+    N.save(state, folder, 2)
+    state.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/epoch-000003")
+    gone = N.remove_unfinished(spark, folder)
+    left, epoch = N.restore(spark, folder)
+    return left.withColumns({"epoch": F.lit(epoch), "removed": F.lit(gone)})
+
+
+def program_files(spark, d):
+    """A runner by name, from a graph in files to a result in files, with its log as a timing table."""
+    graph, result, log = _folder(spark, "graph"), _folder(spark, "result"), _folder(spark, "log")
+    edges = G.handoff(spark, d)
+    text.write_graph(edges, P.vertices_of(edges), graph, parts=4)
+    execute(spark, Job("ShortestPath", graph_dir=graph, result_dir=result, log_dir=f"{log}/first", shards=4))
+    timed = text.timing_table(spark, log, ["load", "compute", "dump"])
+    return _finite(text.read_result(spark, result)).crossJoin(F.broadcast(timed.select("run", (F.col("compute") > 0).alias("timed"))))
 
 
 def generated_graph(spark, d):
-    """A power-law graph of as many vertices as there are customers (rows only: no SQL for its hashes)."""
-    n = G.table(spark, d, "customer").count()
-    return generate.random_graph(spark, n, weights=(0.0, 1.0))
+    """A power-law graph of as many vertices as there are customers."""
+    g = generate.random_graph(spark, G.table(spark, d, "customer").count(), weights=(0.0, 1.0))
+    return g.select("src", "dst", F.round("weight", 9).alias("weight"))
+
+
+def generated_uniform(spark, d):
+    """Uniform degrees, over as many vertices as there are suppliers."""
+    return generate.random_graph(spark, G.table(spark, d, "supplier").count(), degree="uniform", seed=7, loops=True)
+
+
+def generated_log_normal(spark, d):
+    g = generate.log_normal_graph(spark, G.table(spark, d, "customer").count(), seed=3)
+    return g.select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+def _rounded_changes(changes: DataFrame) -> DataFrame:
+    return changes.select("type", "src", "dst", F.round("weight", 9).alias("weight"))
 
 
 def generated_changes(spark, d):
-    edges = G.handoff(spark, d)
-    n = G.table(spark, d, "customer").count()
-    return generate.critical_changes(edges, sssp_critical_edges(spark, d), n, 0.05, 0.2, 0.4, 0.2)
+    """Changes that touch the edges of shortest paths at a rate of their own."""
+    edges, n = G.handoff(spark, d), G.table(spark, d, "customer").count()
+    return _rounded_changes(generate.critical_changes(edges, sssp_critical_edges(spark, d), n, 0.05, 0.2, 0.4, 0.2))
+
+
+def random_changes(spark, d):
+    edges, n = G.handoff(spark, d), G.table(spark, d, "customer").count()
+    return _rounded_changes(generate.random_changes(edges, 0.1, generate.change_rates(0.4, 0.5), n, seed=2))
+
+
+def random_unweighted_changes(spark, d):
+    edges, n = G.handoff(spark, d), G.table(spark, d, "customer").count()
+    return generate.random_changes(edges, 0.1, generate.change_rates(0.4, 0.5), n, seed=2, weighted=False).select("type", "src", "dst", "weight")
 
 
 QUERIES = {
@@ -312,6 +538,9 @@ QUERIES = {
         widest_path, widest_critical_edges, cc_max_label, cc_min_label, wcc, min_in_edge, pagerank_k, pagerank_power, jacobi_k, markov_k, adsorption_k, katz_k,
         simrank_k, apply_changes, split_changes, incr_sssp, incr_widest, incr_cc, incr_pagerank, pending_filter, top_portion, priority_policies, scheduled_sssp,
         term_report, remembered_best, forget_contributions, upsert_state, accumulate_state, get_state, compare_results, error_stats, different_neighbors,
-        weight_histogram, partition_contract, snapshot_restore, generated_graph, generated_changes,
+        weight_histogram, partition_contract, snapshot_restore, generated_graph, generated_changes, scan_unweighted, result_files, result_summary, label_files,
+        change_files, critical_files, neighbor_files, part_files, routed_scan, partition_rules, accumulate_sum, priority_accumulative, stop_rules, stop_by_pairs,
+        superstep_metrics, power_until, neighbor_labels, sssp_supplies, top_portion_cutoff, remembered_sssp, simrank_pairs_k, streamed_sssp, unfinished_snapshots,
+        program_files, generated_uniform, generated_log_normal, random_changes, random_unweighted_changes,
     )
 }
