@@ -100,8 +100,9 @@ def prepare_edges(spec: KernelSpec, edges: DataFrame, parts: int | None = None)
     return PreparedEdges(salted.repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK), known, written)
 
 
-def vertices_of(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+def vertices_of(edges: DataFrame | PreparedEdges, vertices: DataFrame | None = None) -> DataFrame:
     """Every id that is listed or stands at either end of an edge."""
+    edges = edges.table if isinstance(edges, PreparedEdges) else edges
     ids = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
     return (ids if vertices is None else ids.union(vertices.select("id"))).distinct()
 
