@@ -56,7 +56,11 @@ def _clean_etag(tag: Column) -> Column:
 def _digest() -> Column:
     """Of what a record holds, whatever the order of its headers."""
     headers = F.to_json(F.array_sort(F.map_entries("headers")))
-    return F.sha2(F.to_json(F.struct("url", F.unix_micros("captured").alias("at"), headers.alias("headers"), "payload")).cast("binary"), 256)
+    return F.md5(F.to_json(F.struct("url", F.unix_micros("captured").alias("at"), headers.alias("headers"), "payload")).cast("binary"))
+
+
+def _key(record_id: str, digest: Column | str) -> Column:
+    return F.concat_ws(":", F.col(record_id).cast("string"), digest)
 
 
 def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
@@ -113,7 +117,7 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
     matched = cut(
         joined.select(
             "record_id", "canonical_url", F.col("response.record_id").alias("response_id"), outcome.alias("outcome"), "fresh",
-            F.col("response.digest").alias("digest"), F.xxhash64("record_id", "canonical_url", "at").alias("spread"),
+            _key("response.record_id", "response.digest").alias("key"), F.xxhash64("record_id", "canonical_url", "at").alias("spread"),
         )
     )
     nothing = {"headers": F.lit(None).cast("map<string,string>"), "payload": F.lit(None).cast("string")}
@@ -125,28 +129,19 @@ def resolve_revisits(records: DataFrame, periods: int = PERIODS) -> DataFrame:
     )
     unresolved = matched.where("outcome <> 'resolved'").withColumns(nothing).select(*columns)
     good = matched.where("outcome = 'resolved'")
-    wanted = good.groupBy(F.col("response_id").alias("id"), F.col("digest").alias("key")).agg(F.ceil(F.count("*") / REVISITS).cast("int").alias("copies"))
-    busy = F.broadcast(wanted.where("copies > 1").orderBy(F.desc("copies"), "id", "key").limit(1000).select("id", "key", "copies"))
+    wanted = good.groupBy("key").agg(F.ceil(F.count("*") / REVISITS).cast("int").alias("copies"))
     # a response is joined with its revisits in as many tasks as these need; the busiest thousand are known everywhere
-    dealt = good.join(busy, F.col("response_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("key")), "left").select(
-        *good.columns, F.pmod(F.col("spread"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy")
-    )
-    spread = F.coalesce(F.col("copies"), F.lit(1))
-    answers = (
-        records.where("record_type = 'response'")
-        .select(F.col("record_id").alias("of"), _digest().alias("content"), F.col("headers").alias("stored"), "payload")
-        .join(wanted, F.col("of").eqNullSafe(F.col("id")) & (F.col("content") == F.col("key")), "left_semi")
-        .dropDuplicates(["of", "content"])
-        .join(busy, F.col("of").eqNullSafe(F.col("id")) & (F.col("content") == F.col("key")), "left")
-        .select("of", "content", "stored", "payload", F.explode(F.sequence(F.lit(0), spread - 1)).alias("of_copy"))
-    )
+    busy = F.broadcast(wanted.where("copies > 1").orderBy(F.desc("copies"), "key").limit(1000))
+    responses = records.where("record_type = 'response'").select(_key("record_id", _digest()).alias("key"), F.col("headers").alias("stored"), "payload")
+    few = responses.join(busy, "key", "left_anti").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    many = responses.join(busy, "key").dropDuplicates(["key"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    apart = good.join(busy, "key").withColumn("copy", F.pmod("spread", F.col("copies")).cast("int")).drop("copies")
+    answered = good.join(busy, "key", "left_anti").join(few, "key", "left").unionByName(apart.join(many, ["key", "copy"], "left").drop("copy"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     permitted = F.map_filter(F.coalesce("fresh", empty), lambda k, _: k.isin(*PERMITTED))
     stored = F.coalesce("stored", empty)
     merged = F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(permitted, k)), permitted)
-    resolved = dealt.join(answers, F.col("response_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("content")) & (F.col("copy") == F.col("of_copy")), "left").select(
-        "record_id", "canonical_url", "response_id", "outcome", merged.alias("headers"), "payload"
-    )
+    resolved = answered.select("record_id", "canonical_url", "response_id", "outcome", merged.alias("headers"), "payload")
     return resolved.unionByName(unresolved).unionByName(missing)
 
 
