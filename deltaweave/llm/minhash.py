@@ -47,7 +47,7 @@ COORDINATES, MATCH = 64, 36
 #: Members of a posting list that one task compares at a time, and the pivots that every chunk of a longer list gets.
 LIST_CHUNK, LIST_PIVOTS = 2048, 128
 #: Shingles and members that one task confirms, and the pivots that every chunk of a larger group gets.
-SET_CHUNK, SET_MEMBERS, SET_PIVOTS = 2_000_000, 1024, 64
+SET_CHUNK, SET_MEMBERS, SET_PIVOTS = 2_000_000, 256, 32
 
 
 def _multipliers(coordinates: int) -> np.ndarray:
