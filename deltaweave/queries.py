@@ -159,7 +159,7 @@ def katz_k(spark, d):
 
 
 def simrank_k(spark, d):
-    return P.simrank(G.busy_trade(spark, d), rounds=4).select("a", "b", F.round("value", 6).alias("value"))
+    return P.simrank(G.busy_trade(spark, d), rounds=4, least=0.0).select("a", "b", F.round("value", 6).alias("value"))
 
 
 def apply_changes(spark, d):
@@ -458,7 +458,7 @@ def simrank_pairs_k(spark, d):
     """SimRank over a pair graph that was written and read back."""
     path = _folder(spark, "pairs")
     text.write_pairs(P.pair_graph(G.busy_trade(spark, d)), path, parts=4)
-    return P.simrank_pairs(text.read_pairs(spark, path), rounds=4).select("a", "b", F.round("value", 6).alias("value"))
+    return P.simrank_pairs(text.read_pairs(spark, path), rounds=4, least=0.0).select("a", "b", F.round("value", 6).alias("value"))
 
 
 def streamed_sssp(spark, d):

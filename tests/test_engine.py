@@ -106,8 +106,8 @@ def test_values_get_worse_by_what_is_remembered(spark):
 
 def test_simrank_over_pairs(spark):
     edges = frame(spark, random_edges(6, 8, 20))
-    want = {(r.a, r.b): r.value for r in P.simrank(edges, rounds=3).collect()}
-    got = {(r.a, r.b): r.value for r in P.simrank_pairs(P.pair_graph(edges), rounds=3).collect()}
+    want = {(r.a, r.b): r.value for r in P.simrank(edges, rounds=3, least=0.0).collect()}
+    got = {(r.a, r.b): r.value for r in P.simrank_pairs(P.pair_graph(edges), rounds=3, least=0.0).collect()}
     assert got == pytest.approx(want) and want
 
 
