@@ -65,7 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = plan.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = plan.cut(stage(spark, docs, sf_dir))
+        before, docs = docs, plan.cut(stage(spark, docs, sf_dir))
+        plan.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
