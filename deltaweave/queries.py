@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,6 +236,17 @@ def scheduled_sssp(spark, d):
     return _finite(P.run(K.shortest_path(SOURCE), G.handoff(spark, d), schedule=P.Schedule(0.02, "eager")).state)
 
 
+def scheduled_by_degree(spark, d):
+    """A twentieth at a time, those with many edges sooner: the same fixpoint."""
+    return _finite(P.run(K.shortest_path(SOURCE), G.handoff(spark, d), schedule=P.Schedule(0.05, "eager", by_degree=True)).state)
+
+
+def prepared_deltas(spark, d):
+    """PageRank whose vertices halve what they got before they keep and send it."""
+    spec = replace(K.pagerank(), before=lambda delta, value: delta * 0.5)
+    return _rounded(_rounds(spec, G.handoff(spark, d)))
+
+
 def term_report(spark, d):
     report = P.term_report(K.shortest_path(SOURCE))
     return _sssp(spark, d).agg(*[report[k].alias(k) for k in ("total", "unknown", "pending", "rows")])
@@ -541,6 +553,6 @@ QUERIES = {
         weight_histogram, partition_contract, snapshot_restore, generated_graph, generated_changes, scan_unweighted, result_files, result_summary, label_files,
         change_files, critical_files, neighbor_files, part_files, routed_scan, partition_rules, accumulate_sum, priority_accumulative, stop_rules, stop_by_pairs,
         superstep_metrics, power_until, neighbor_labels, sssp_supplies, top_portion_cutoff, remembered_sssp, simrank_pairs_k, streamed_sssp, unfinished_snapshots,
-        program_files, generated_uniform, generated_log_normal, random_changes, random_unweighted_changes,
+        program_files, scheduled_by_degree, prepared_deltas, generated_uniform, generated_log_normal, random_changes, random_unweighted_changes,
     )
 }

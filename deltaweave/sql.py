@@ -302,6 +302,10 @@ ORDER BY abs(round(delta, 9)) DESC, id LIMIT (SELECT greatest(1, count(*) // 10)
     "remembered_sssp": f"""WITH RECURSIVE {_HANDOFF}, gw AS (SELECT e.src, e.dst, coalesce(ch.weight, e.weight) AS weight FROM e LEFT JOIN ch ON ch.src = e.src AND ch.dst = e.dst AND ch.type IN ('I', 'D')),
 {_least("gw", _ZERO)}, b AS (SELECT e.dst AS id, min(d.v + e.weight) AS got, arg_min(e.src, (d.v + e.weight) * 1e6 + e.src) AS sender FROM gw e JOIN d ON d.k = e.src GROUP BY e.dst)
 SELECT id, v AS value, CASE WHEN id <> 0 THEN sender END AS best_from FROM v LEFT JOIN d ON k = id LEFT JOIN b USING (id)""",
+    "scheduled_by_degree": f"{_SSSP} {_DISTANCES}",
+    "prepared_deltas": f"""WITH RECURSIVE {_PR}, d(k, delta, i) AS (
+  SELECT id, 0.2::DOUBLE, 0 FROM v UNION ALL SELECT x.dst, sum(0.8 * (d.delta * 0.5) / x.n), d.i + 1 FROM d JOIN x ON x.src = d.k WHERE d.i < {ROUNDS} GROUP BY x.dst, d.i + 1
+) SELECT k AS id, round(sum(CASE WHEN i < {ROUNDS} THEN delta * 0.5 ELSE 0 END), 6) AS value, round(sum(CASE WHEN i = {ROUNDS} THEN delta ELSE 0 END), 6) AS delta FROM d GROUP BY k""",
     "streamed_sssp": f"{_SSSP_G} {_DISTANCES_G}",
     "unfinished_snapshots": "SELECT s_suppkey AS id, s_acctbal AS value, 2 AS epoch, 1 AS removed FROM supplier",
     "program_files": f"{_SSSP} SELECT id, v AS value, 'first' AS run, true AS timed FROM v LEFT JOIN d ON k = id",
