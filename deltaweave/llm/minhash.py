@@ -15,7 +15,7 @@
 5. The members of linked groups are shingled once more, into a table of sets, and links are confirmed
    exactly: a blocked sparse product gives all intersection sizes of a group; a spanning forest of the
    confirmed links leaves the task. In a large group a member whose shingles are mostly its own can have no
-   link at all (an exact bound) and is left out; the rest is cut into chunks with the members that have the fewest shingles
+   link at all (an exact bound) and is left out; the rest is cut into chunks, with some members that have few shingles
    of their own as pivots; only members that are still apart from the largest class meet the others.
 
 So rows grow with the members of a list or group, except for members that stay apart from its largest
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import lineage
@@ -204,17 +204,22 @@ def _with_pivots(members: DataFrame, pivots: DataFrame, chunks: str) -> DataFram
     return own.unionByName(every.select(own.columns))
 
 
-def _apart(members: DataFrame, key: str, chunk: int) -> DataFrame:
-    """Members (with ``component``) of keys that still have several components, dealt so that each one outside
+def _sub(pivots: int):
+    """A number below ``pivots`` for a member; of the members of a key with the same one, one is a pivot."""
+    return F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(pivots)).alias("sub")
+
+
+def _apart(members: DataFrame, key: str, chunk: int, total: int) -> DataFrame:
+    """Members (with ``component``; ``total`` at most) of keys that still have several components, dealt so that each one outside
     its key's largest component meets all members of the key: column ``chunk`` numbers pairs of chunks."""
     by = members.groupBy(key, "component").agg(F.count("*").alias("n"))
     state = (
         by.groupBy(key)
         .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
         .where("most < all")
-        .select(key, "main", F.ceil(F.col("all") / chunk).cast("int").alias("ca"), F.ceil((F.col("all") - F.col("most")) / chunk).cast("int").alias("co"))
+        .select(key, "main", "all", F.ceil(F.col("all") / chunk).cast("int").alias("ca"), F.ceil((F.col("all") - F.col("most")) / chunk).cast("int").alias("co"))
     )
-    open_ = members.join(state, key)
+    open_ = with_hot_keys(members, state, [key], "all", total).drop("all")
     column, row = (F.pmod(F.xxhash64("rep"), F.col(n)).cast("int") for n in ("ca", "co"))
     everyone = F.transform(F.sequence(F.lit(0), F.col("co") - 1), lambda i: i * F.col("ca") + column)
     across = F.transform(F.filter(F.sequence(F.lit(0), F.col("ca") - 1), lambda j: j != column), lambda j: row * F.col("ca") + j)
@@ -278,18 +283,17 @@ def candidate_groups(classes: DataFrame, total: int, coordinates: int = COORDINA
         drop(mine)
         return out
     chunked = lists.withColumn("chunks", F.ceil(F.col("f") / LIST_CHUNK).cast("int")).drop("f")
-    first = Window.partitionBy("token").orderBy("rep")
-    pivots = chunked.where("chunks > 1").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= LIST_PIVOTS).drop("_nth")
+    pivots = chunked.where("chunks > 1").groupBy("token", _sub(LIST_PIVOTS)).agg(F.min(F.struct("rep", "sig", "chunks")).alias("p")).select("token", "p.*")
     once = components(merged(_with_pivots(chunked, pivots, "chunks"), ["rep"]))
     long_ = chunked.where("chunks > 1").drop("chunks").join(once.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    more = merged(_apart(long_.withColumn("component", F.coalesce("component", "rep")), "token", LIST_CHUNK), ["component", "rep"])
+    more = merged(_apart(long_.withColumn("component", F.coalesce("component", "rep")), "token", LIST_CHUNK, prefix * total), ["component", "rep"])
     out = components(once.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     drop(mine, once)
     return out
 
 
-def confirmed_groups(docs: DataFrame, classes: DataFrame, loose: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, component): classes chained by exact similarity, within the groups of ``loose`` (id, component)."""
+def confirmed_groups(docs: DataFrame, classes: DataFrame, total: int, loose: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, component): the ``total`` classes chained by exact similarity, within the groups of ``loose`` (id, component)."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -334,8 +338,8 @@ def confirmed_groups(docs: DataFrame, classes: DataFrame, loose: DataFrame, widt
     roots = loose.select(F.col("component").alias("id"), "component").distinct()
     members = loose.unionByName(roots).join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id")
     chunks = F.greatest(F.ceil(F.sum("n_shingles") / SET_CHUNK), F.ceil(F.count("*") / SET_MEMBERS)).cast("int")
-    sizes = members.groupBy("component").agg(chunks.alias("chunks"))
-    asked = members.join(sizes, "component").select(F.col("component").alias("grp"), F.col("id").alias("rep"), "chunks")
+    sizes = members.groupBy("component").agg(chunks.alias("chunks"), F.count("*").alias("n"))
+    asked = with_hot_keys(members, sizes, ["component"], "n", total).select(F.col("component").alias("grp"), F.col("id").alias("rep"), "chunks")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text", F.xxhash64("text").alias("_h"))
     sets, facts = lineage.cut(
         texts.join(asked, "rep").select("grp", "rep", "chunks", "text", "_h").mapInArrow(shingled, "grp long, rep long, chunks int, shingles binary"),
@@ -352,21 +356,23 @@ def confirmed_groups(docs: DataFrame, classes: DataFrame, loose: DataFrame, widt
     )
     size = (F.length("shingles") / 8).cast("long")
     # an intersection has no shingle of one's own, and the union no fewer than one's all
-    able, _ = lineage.cut(
+    able, left = lineage.cut(
         large.join(alone, ["grp", "rep"], "left")
         .withColumn("own", F.coalesce("own", F.lit(0)))
         .where(100 * (size - F.col("own")) >= percent * size)
-        .select("grp", "rep", "shingles", (F.col("own") / size).alias("share"))
+        .select("grp", "rep", "shingles", (F.col("own") / size).alias("share")),
+        n=F.count(F.lit(1)),
     )
-    fresh = able.groupBy("grp").agg(F.greatest(F.ceil(F.sum(size) / SET_CHUNK), F.ceil(F.count("*") / SET_MEMBERS)).cast("int").alias("chunks"))
-    dealt = able.join(fresh, "grp")
-    cleanest = Window.partitionBy("grp").orderBy("share", "rep")
-    pivots = dealt.withColumn("_nth", F.row_number().over(cleanest)).where(F.col("_nth") <= SET_PIVOTS).drop("_nth")
+    chunks = F.greatest(F.ceil(F.sum(size) / SET_CHUNK), F.ceil(F.count("*") / SET_MEMBERS)).cast("int")
+    fresh = able.groupBy("grp").agg(chunks.alias("chunks"), F.count("*").alias("n"))
+    dealt = with_hot_keys(able, fresh, ["grp"], "n", left["n"]).drop("n")
+    cleanest = able.groupBy("grp", _sub(SET_PIVOTS)).agg(F.min(F.struct("share", "rep")).alias("p")).select("grp", "p.rep")
+    pivots = dealt.join(cleanest, ["grp", "rep"], "left_semi")
     small = sets.where("chunks = 1").withColumn("chunk", F.lit(0))
     links = checked(small).unionByName(checked(_with_pivots(dealt, pivots, "chunks")))
     once = components(links)
     placed = able.join(once.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = checked(_apart(placed, "grp", SET_MEMBERS))
+    more = checked(_apart(placed, "grp", SET_MEMBERS, left["n"]))
     out = components(once.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     drop(sets, able, once)
     return out
@@ -389,7 +395,7 @@ def near_duplicates(
         n=F.count(F.lit(1)),
     )
     loose = candidate_groups(classes, found["n"], coordinates, match)
-    linked = confirmed_groups(docs, classes, loose, width, percent)
+    linked = confirmed_groups(docs, classes, found["n"], loose, width, percent)
     drop(loose)
     of_class = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id")
