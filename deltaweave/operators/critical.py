@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import INFINITY, shortest_path
-from .fixpoint import run
-
+from .fixpoint import run, vertices_of
 
 
 def shortest_path_edges(edges: DataFrame, distances: DataFrame) -> DataFrame:
@@ -28,10 +27,10 @@ def widest_path_edges(edges: DataFrame, widths: DataFrame) -> DataFrame:
 
 
 def rebuild_distances(edges: DataFrame, critical: DataFrame, source: int) -> DataFrame:
-    """Distances over the critical edges alone: equal to those over all edges."""
+    """Distances of all vertices over the critical edges alone: equal to those over all edges."""
     only = edges.join(critical, ["src", "dst"], "left_semi")
     start = edges.sparkSession.range(source, source + 1)
-    return run(shortest_path(source), only, start).state.select("id", "value")
+    return run(shortest_path(source), only, vertices_of(edges, start)).state.select("id", "value")
 
 
 def compare(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> DataFrame:

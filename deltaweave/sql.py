@@ -122,7 +122,7 @@ def _drawn_graph(nodes: str, degree: str, seed, weight: str, loops: bool) -> str
 ) SELECT src, dst, {weight} AS weight FROM t {"" if loops else "WHERE src <> dst"}"""
 
 
-_TRIES = 10
+_TRIES = 20
 
 
 def _drawn_changes(prelude: str, flagged: str, chances: str, seed: int, weighted: bool) -> str:
