@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, drop
 from ..types import CHANGE_TYPES, KernelSpec
-from .fixpoint import Result, Schedule, Stop, iterate, messages, prepare_edges, vertices_of
+from .fixpoint import FEW, Result, Schedule, Stop, iterate, messages, prepare_edges, vertices_of
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
@@ -72,20 +72,23 @@ def _closure(start: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> Da
             out = out.union(df)
         return out
 
+    few = lambda df, n: F.broadcast(df) if n <= FEW else df  # noqa: E731  counted, so of a known size
+    whole = facts["n"]
     for _ in range(max_rounds):
         if not facts["n"]:
             return reached()
-        found = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(reached(), "id", "left_anti")
-        frontier, facts = cut(found, n=count)
+        onward = few(frontier, facts["n"]).join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        frontier, facts = cut(onward.join(few(reached(), whole), "id", "left_anti"), n=count)
+        whole += facts["n"]
         if not facts["n"]:
             continue
         levels[0].append(frontier)
         at = 0
         while len(levels[at]) >= FRONTIERS:
-            whole = levels[at][0]
+            level = levels[at][0]
             for df in levels[at][1:]:
-                whole = whole.union(df)
-            merged, _ = cut(whole)
+                level = level.union(df)
+            merged, _ = cut(level)
             drop(*[df for df in levels[at] if df is not frontier])
             levels[at] = []
             if at + 1 == len(levels):
