@@ -24,8 +24,6 @@ from ..types import KernelSpec
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 #: Edges of one part, and of one source in one part; a source with more (and with a thousandth of all edges) is a hub.
 PART_EDGES, HUB_EDGES = 4_000_000, 100_000
-#: Rows of a frontier, or vertices of a graph, up to which they are sent to all tasks: a few MB. Both are counted before.
-FEW = 200_000
 #: Vertices that a scheduled superstep may take by one sort; beyond, a cutoff is found first.
 SORTED = 100_000
 #: Rounds after which an accumulative program without a limit of its own counts as one that does not settle.
@@ -119,15 +117,14 @@ def pending(spec: KernelSpec, delta: Column | None = None, value: Column | None
     return spec.better(delta, value) if spec.selective else delta != spec.nothing
 
 
-def messages(spec: KernelSpec, senders: DataFrame, edges: PreparedEdges, few: bool = False) -> DataFrame:
-    """(id, message): what the deltas of ``senders`` (id, delta) send, combined per target; ``few``: there are at most ``FEW``."""
+def messages(spec: KernelSpec, senders: DataFrame, edges: PreparedEdges) -> DataFrame:
+    """(id, message): what the deltas of ``senders`` (id, delta) send, combined per target."""
     sent = senders.select(F.col("id").alias("src"), "delta")
     if edges.hubs is None:
         sent = sent.withColumn("salt", F.lit(0))
     else:
         salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
         sent = sent.join(edges.hubs, "src", "left").select("src", "delta", F.explode(salts).alias("salt"))
-    sent = F.broadcast(sent) if few else sent
     carried = spec.message(F.col("delta"), F.col("weight"), F.col("degree"))
     return sent.join(edges.frame, ["src", "salt"]).select(F.col("dst").alias("id"), carried.alias("m")).groupBy("id").agg(_FOLD[spec.combine]("m").alias("message"))
 
@@ -156,8 +153,8 @@ def top_portion(spec: KernelSpec, state: DataFrame, schedule: Schedule, total: i
         margin *= 4
 
 
-def superstep(spec: KernelSpec, state: DataFrame, edges: PreparedEdges, schedule: Schedule, total: int, pending_now: int | None = None) -> DataFrame:
-    """The state after the scheduled vertices have worked; ``total`` vertices, ``pending_now`` of them with work."""
+def superstep(spec: KernelSpec, state: DataFrame, edges: PreparedEdges, schedule: Schedule, total: int) -> DataFrame:
+    """The state after the scheduled vertices have worked, of ``total`` vertices."""
     if schedule.portion < 1:
         ranked = state
         if schedule.by_degree:
@@ -170,8 +167,8 @@ def superstep(spec: KernelSpec, state: DataFrame, edges: PreparedEdges, schedule
     now = now.select("id", "delta", "value", taken.alias("taken"))
     if spec.before is not None:
         now = now.withColumn("delta", F.when(F.col("taken"), spec.before(F.col("delta"), F.col("value")).cast(spec.dtype)).otherwise(F.col("delta")))
-    got = messages(spec, now.where("taken"), edges, (total if pending_now is None else pending_now) <= FEW)
-    joined = now.join(F.broadcast(got) if total <= FEW else got, "id", "left")
+    got = messages(spec, now.where("taken"), edges)
+    joined = now.join(got, "id", "left")
     if spec.selective:
         best = F.least if spec.combine == "min" else F.greatest
         delta, value = best("delta", "message"), F.when(F.col("taken"), F.col("delta")).otherwise(F.col("value"))
@@ -243,7 +240,7 @@ def iterate(spec: KernelSpec, state: DataFrame, edges: PreparedEdges, schedule:
     history, before, rounds = [dict(facts, round=0)], None, 0
     most = most_rounds(spec, stop, facts["rows"])
     while not (settled := _settled(spec, stop, facts, before)) and rounds < most:
-        following, found = cut(superstep(spec, now, edges, schedule_at(schedule, stop, rounds, facts["rows"]), facts["rows"], facts["pending"]), **report)
+        following, found = cut(superstep(spec, now, edges, schedule_at(schedule, stop, rounds, facts["rows"]), facts["rows"]), **report)
         drop(now)
         now, before, facts = following, facts, found
         rounds += 1
