@@ -41,21 +41,25 @@ PASSES = 3
 SPAN = 10_000
 #: The least weight of a document.
 LEAST = 0.05
+#: Sources whose decisions are all sent to where the documents lie; of more, only those of the large ones.
+SENT = 1000
 
 
-def _measured(docs: DataFrame, model: quality.AdditiveModel | None) -> DataFrame:
-    """``docs`` (with a column text) and _size, the number of words, and _weight, the quality; one pass."""
-    at = docs.columns.index("text")
+def _measured(docs: DataFrame, model: quality.AdditiveModel | None, text: str = "text", passed: list[str] | None = None) -> DataFrame:
+    """The columns ``passed`` of ``docs`` (all, unless given), _size, the number of words of the column ``text``, and _weight, its quality; one pass."""
+    at = docs.columns.index(text)
+    passed = docs.columns if passed is None else passed
+    places = [docs.columns.index(c) for c in passed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=quality.SLICE):
+            for part in slices(batch, text, quality.SLICE):
                 words = Words(part.column(at), lower=False)
                 scores = model.score(quality.features(part.column(at), words)) if model else np.ones(part.num_rows)
-                columns = [*part.columns, pa.array(words.counts(), pa.int64()), pa.array(np.round(np.maximum(LEAST, scores), 6))]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "_size", "_weight"])
+                columns = [*(part.column(k) for k in places), pa.array(words.counts(), pa.int64()), pa.array(np.round(np.maximum(LEAST, scores), 6))]
+                yield pa.RecordBatch.from_arrays(columns, [*passed, "_size", "_weight"])
 
-    layout = T.StructType([*docs.schema.fields, T.StructField("_size", T.LongType()), T.StructField("_weight", T.DoubleType())])
+    layout = T.StructType([*(docs.schema[c] for c in passed), T.StructField("_size", T.LongType()), T.StructField("_weight", T.DoubleType())])
     return docs.mapInArrow(run, layout)
 
 
@@ -117,7 +121,7 @@ def decide(docs: DataFrame, weights: tuple[int, ...], limit: int, seed: str, mod
     is taken of it (s, source_size, target, epochs, passes, one, rows)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.xxhash64("text").alias("tie"))
     groups, facts = lineage.cut(
-        _measured(slim, model)
+        _measured(slim, model, passed=["doc_id", "source", "tie"])
         .groupBy("doc_id", "source", "tie")
         .agg(F.count("*").alias("n"), F.max("_size").alias("size"), F.max("_weight").alias("weight"))
         .select("doc_id", "source", "tie", "n", "size", (-F.log(uniform(seed, "doc_id", "tie")) / F.col("weight")).alias("key"), _named().alias("s")),
@@ -193,24 +197,33 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
     """The documents that the mix takes, each as often as it takes them; same columns.
 
     A source's decision is its number of epochs and the edges of its prefixes, so texts need no shuffle: these few values per
-    source meet the documents where they lie. Only where an edge parts equal rows are those rows numbered.
+    source meet the documents where they lie. Each text goes through the scorer once more, and stands once in a row. Only where
+    an edge parts equal rows are those rows numbered; few groups have one, and these are known before the texts are read.
     """
-    _, decisions, total = decide(docs, weights, limit, seed, model)
+    groups, decisions, total = decide(docs, weights, limit, seed, model)
     names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text").alias("text"))
-    rows = _measured(renamed, model).withColumns(
-        {"doc_id": F.col(names["doc_id"]).cast("long"), "tie": F.xxhash64("text"), "size": F.col("_size"), "n": F.lit(1).cast("long"), "s": F.coalesce(F.concat(F.lit("="), F.col(names["source"])), F.lit(""))}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    text, doc, s = names["text"], F.col(names["doc_id"]).cast("long"), _named(names["source"])
+    # of several equal rows, an edge takes some, or one more is taken
+    parting = F.exists("passes", lambda p: (_place() == p["last"]) & (p["taken"] < p["n"])) | F.coalesce(_place() == F.col("one"), F.lit(False))
+    parted, found = lineage.cut(
+        with_hot_keys(groups.where("n > 1").drop("source"), decisions, ["s"], "rows", total)
+        .where(F.coalesce(parting, F.lit(False)))
+        .select(F.col("s").alias("_s"), F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "epochs", _extra().alias("extra")),
+        n=F.count(F.lit(1)),
     )
-    rows = rows.withColumn("key", -F.log(uniform(seed, "doc_id", "tie")) / F.col("_weight")).drop("text", "_size", "_weight")
-    joined = with_hot_keys(rows.where("size > 0"), decisions, ["s"], "rows", total)
-    # rows at an edge that takes some of several equal rows, or where one more is taken
-    parted = F.exists("passes", lambda p: (_place() == p["last"]) & (p["taken"] < p["n"])) | F.coalesce(_place() == F.col("one"), F.lit(False))
-    parted = F.coalesce(parted, F.lit(False))
+    same = (F.col("_s") == s) & F.col("_doc").eqNullSafe(doc) & (F.col("_tie") == F.xxhash64(text))
+    rows = _measured(renamed.join(parted, same, "left_anti") if found["n"] else renamed, model, text)
+    rows = rows.withColumns({"doc_id": doc, "tie": F.xxhash64(text), "size": F.col("_size"), "n": F.lit(1).cast("long"), "s": s})
+    rows = rows.withColumn("key", -F.log(uniform(seed, "doc_id", "tie")) / F.col("_weight")).drop("_size", "_weight").where("size > 0")
+    joined = rows.join(F.broadcast(decisions), ["s"]) if decisions.count() <= SENT else with_hot_keys(rows, decisions, ["s"], "rows", total)
     whole = F.transform("passes", lambda p: F.struct(p["after"].alias("after"), p["gap"].alias("gap"), p["last"].alias("last"), F.lit(1).cast("long").alias("taken"), p["n"].alias("n")))
-    plain = joined.where(~parted).withColumn("passes", whole).withColumn("_copies", F.col("epochs") + _extra())
-    equal = Window.partitionBy("s", "key", "doc_id", "tie").orderBy(F.to_json(F.struct(*[n for c, n in names.items() if c != "text"])))
-    edge = joined.where(parted).withColumn("_copies", F.col("epochs") + (F.row_number().over(equal) <= _extra()).cast("long"))
-    out = plain.unionByName(edge).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    out = joined.withColumn("passes", whole).select(*names.values(), (F.col("epochs") + _extra()).alias("_copies"))
+    if found["n"]:
+        equal = Window.partitionBy("_s", "_doc", "_tie").orderBy(F.to_json(F.struct(*[n for c, n in names.items() if c != "text"])))
+        edge = renamed.join(parted, same).withColumn("_copies", F.col("epochs") + (F.row_number().over(equal) <= F.col("extra")).cast("long"))
+        out = out.unionByName(edge.select(*names.values(), "_copies"))
+    out = out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

@@ -153,5 +153,18 @@ def test_columns_and_empty_tables(spark):
     assert mixing.mix(table(spark, [])).collect() == [] == mixing.mixed_documents(table(spark, [])).collect()
 
 
+def test_texts_are_read_once_and_stand_once_in_a_row(spark):
+    """The pass that hands out documents holds a text once and goes over all texts once, so that long ones fit."""
+    rows = [(k, f"w{k} " * (k % 7 + 1), "en", f"s{k % 3}") for k in range(200)] + [(500 + k, "x y", "en", f"t{k}") for k in range(3)]
+    df = table(spark, rows)
+    out = mixing.mixed_documents(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    passes = [x for x in plan.splitlines() if "MapInArrow" in x]
+    assert len(passes) == 1
+    # what goes to Python: the columns of the table, and no second copy of a text
+    assert passes[0].split("(")[1].split(")")[0].count("#") == len(df.columns)
+    assert sum(copies_of(df).values()) == sum(r[4] // r[1] for r in brute(rows) if r[1])
+
+
 def test_rare_sources_stop_at_their_limit():
     assert water_fill({"a": 100, "b": 1}) == {"a": 98.0, "b": 3.0}
