@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import lineage
-from .plan import components, cut, drop, partitions, table, with_hot_keys
+from .plan import components, cut, drop, partitions, shuffles_removed, table, with_hot_keys
 from .text import mix64, shingle_sets, slices
 
 COORDINATES, MATCH = 64, 36
@@ -48,6 +48,9 @@ COORDINATES, MATCH = 64, 36
 LIST_CHUNK, LIST_PIVOTS = 2048, 128
 #: Shingles and members that one task confirms, and the pivots that every chunk of a larger group gets.
 SET_CHUNK, SET_MEMBERS, SET_PIVOTS = 2_000_000, 256, 32
+#: Ids (of members of linked groups, of documents that go) that are sent to all texts, so that these, or the texts of others, are not
+#: shuffled. With more ids, all texts are.
+SENT_MEMBERS = 1_000_000
 
 
 def _multipliers(coordinates: int) -> np.ndarray:
@@ -339,12 +342,17 @@ def confirmed_groups(docs: DataFrame, classes: DataFrame, total: int, loose: Dat
     members = loose.unionByName(roots).join(classes.select(F.col("rep").alias("id"), "n_shingles"), "id")
     chunks = F.greatest(F.ceil(F.sum("n_shingles") / SET_CHUNK), F.ceil(F.count("*") / SET_MEMBERS)).cast("int")
     sizes = members.groupBy("component").agg(chunks.alias("chunks"), F.count("*").alias("n"))
-    asked = with_hot_keys(members, sizes, ["component"], "n", total).select(F.col("component").alias("grp"), F.col("id").alias("rep"), "chunks")
+    asked, needed = lineage.cut(
+        with_hot_keys(members, sizes, ["component"], "n", total).select(F.col("component").alias("grp"), F.col("id").alias("rep"), "chunks"), n=F.count(F.lit(1))
+    )
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text", F.xxhash64("text").alias("_h"))
+    if (needed["n"] or 0) <= SENT_MEMBERS:
+        texts = texts.join(F.broadcast(asked.select("rep")), "rep", "left_semi")
     sets, facts = lineage.cut(
         texts.join(asked, "rep").select("grp", "rep", "chunks", "text", "_h").mapInArrow(shingled, "grp long, rep long, chunks int, shingles binary"),
         most=F.max("chunks"),
     )
+    drop(asked)
     if (facts["most"] or 0) <= 1:
         out = components(checked(sets.withColumn("chunk", F.lit(0))))
         drop(sets)
@@ -386,17 +394,18 @@ def near_duplicates(
     Documents are linked when ``100 * |intersection| >= percent * |union|`` of their sets of
     ``width``-word shingles (lower-cased A-Z); component_id is the smallest id reachable.
     """
-    sketches, facts = lineage.cut(sketch(docs, width, coordinates), n=F.count(F.lit(1)))
     usable = "n_shingles > 0 and doc_id is not null"
-    classes, found = lineage.cut(
-        sketches.where(usable)
-        .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")),
-        n=F.count(F.lit(1)),
-    )
-    loose = candidate_groups(classes, found["n"], coordinates, match)
-    linked = confirmed_groups(docs, classes, found["n"], loose, width, percent)
-    drop(loose)
+    with shuffles_removed(docs.sparkSession):
+        sketches, facts = lineage.cut(sketch(docs, width, coordinates), n=F.count(F.lit(1)))
+        classes, found = lineage.cut(
+            sketches.where(usable)
+            .groupBy("k1", "k2")
+            .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")),
+            n=F.count(F.lit(1)),
+        )
+        loose = candidate_groups(classes, found["n"], coordinates, match)
+        linked = confirmed_groups(docs, classes, found["n"], loose, width, percent)
+        drop(loose)
     of_class = classes.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "k1", "k2", "copies", F.coalesce("component", "rep").alias("component_id")
     )
@@ -416,9 +425,11 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
     Of rows that repeat a doc_id one stays, the first by text and then by the other columns; rows without a doc_id stay all.
     """
     found = near_duplicates(docs, width, percent)
-    by_id = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_rows")))
+    with shuffles_removed(docs.sparkSession):
+        by_id = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_rows")))
+        gone, facts = lineage.cut(by_id.where("not _kept").select("_id"), n=F.count(F.lit(1)))
     doc = F.col("doc_id").cast("long")
-    left = docs.join(by_id.where("not _kept").select("_id"), doc == F.col("_id"), "left_anti")
+    left = docs.join(F.broadcast(gone) if (facts["n"] or 0) <= SENT_MEMBERS else gone, doc == F.col("_id"), "left_anti")
     again = by_id.where("_kept and _rows > 1").select("_id")
     if again.isEmpty():
         return left

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans import lineage
 from ..plans.lineage import drop
 
-__all__ = ["BLOCK_BYTES", "block_of", "bucketed", "components", "cut", "dealt_blocks", "drop", "findable", "partitions", "table", "with_hot_keys", "with_rank"]
+__all__ = ["BLOCK_BYTES", "block_of", "bucketed", "components", "cut", "dealt_blocks", "drop", "findable", "partitions", "shuffles_removed", "table", "with_hot_keys", "with_rank"]
 
 #: Bytes of stored text that one group or one task of a text stage should hold.
 BLOCK_BYTES = 24 << 20
@@ -62,6 +64,24 @@ def cut(df: DataFrame) -> DataFrame:
     return lineage.cut(df)[0]
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go as soon as it has ended (from Spark 4.1 on), not when the driver's garbage is next collected.
+
+    Tables that ``cut`` makes are complete by then, so nothing reads these files any more.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def block_of(column: str | Column, blocks: int) -> Column:
     """A block number that depends on the value alone."""
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")

@@ -142,3 +142,31 @@ def test_one_of_each_group_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(
         [(1, "a b c d e f"), (3, "g h"), (None, "a b c d e f"), (None, "a b c d e f"), (4, None)], key=str
     )
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Whatever the size of the tables: ids are sent to the texts, and only texts of members of linked groups are shuffled."""
+    rng = random.Random(31)
+    texts = docs(rng, 40, vocabulary=500, least=20, most=40)
+    rows = [*enumerate([*texts, *(t + " end" for t in texts[:9]), *texts[:3]])]
+    df = table(spark, rows)
+    plans, write = [], minhash.lineage.cut
+
+    def spy(frame, **metrics):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return write(frame, **metrics)
+
+    monkeypatch.setattr(minhash.lineage, "cut", spy)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that the planner finds too large
+    try:
+        left = minhash.without_near_duplicates(df)
+        last = left._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in last and "SortMergeJoin" not in last and "Exchange hashpartitioning" not in last
+        shingled = [p for p in plans if "shingled" in p]
+        assert len(shingled) == 1 and "LeftSemi" in shingled[0]
+        assert {r.doc_id for r in left.collect()} == {i for i, x in brute(rows, 5, 80).items() if x[2]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    monkeypatch.setattr(minhash, "SENT_MEMBERS", 0)  # more ids than are sent: the same documents
+    assert {r.doc_id for r in minhash.without_near_duplicates(df).collect()} == {r.doc_id for r in left.collect()}

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from deltaweave.llm import plan
@@ -38,3 +40,19 @@ def test_ends_of_components(spark):
     edges = [(5, k) for k in range(6, 900)] + [(2000 + k, 2001 + k) for k in range(30)] + [(3, 3)]
     got = {r.id: r.component for r in plan.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 5 for k in range(6, 900)} | {2001 + k: 2000 for k in range(30)}
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    rows = spark.range(5000).withColumn("k", F.xxhash64("id"))
+    at = files()
+    with plan.shuffles_removed(spark):
+        out = plan.cut(rows.groupBy("k").count())
+        for _ in range(50):  # files go in the background
+            if files() <= at:
+                break
+            time.sleep(0.1)
+    assert files() <= at and out.count() == 5000
+    at = files()
+    plan.cut(rows.groupBy("k").count())
+    assert files() > at  # outside, they stay until the driver's garbage is collected
