@@ -19,6 +19,7 @@ import math
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -31,6 +32,8 @@ _BITS = np.uint64(44)
 CELLS = 1 << 17
 #: Chunks of more code points are not compared with others.
 LONG = 4096
+#: Code points that are hashed at a time, no fewer than those of a chunk that is compared.
+HASHED = 1 << 16
 
 
 def _values(points: np.ndarray) -> np.ndarray:
@@ -143,7 +146,13 @@ def chunk_starts(points: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> np.n
     return np.flatnonzero(begin)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to the length of a window of hashes."""
+    up = np.full(HASHED, _BASE, np.uint64)
+    down = np.full(HASHED, pow(int(_BASE), -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
 def chunk_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -155,18 +164,18 @@ def chunk_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         begin = np.concatenate(([0], np.cumsum(lengths[~long])))
         out[~long] = chunk_hashes(points[np.repeat(~long, lengths)], begin[:-1], begin[1:])
         return out
-    size = 1 << max(16, len(points).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, pow(int(_BASE), -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    up, down = _powers[size]
-    total = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(_values(points) * up[: len(points)], out=total[1:])
-    out = (total[ends] - total[starts]) * down[starts]
-    return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    up, down = _powers()
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # windows of whole chunks, so memory does not grow with the slice
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + HASHED, side="right"))
+        piece = points[base : int(ends[j - 1])]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_values(piece) * up[: len(piece)], out=total[1:])
+        out[i:j] = (total[ends[i:j] - base] - total[starts[i:j] - base]) * down[starts[i:j] - base]
+        i = j
+    return mix64(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _edges(matrix: np.ndarray, v: Vocabulary, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,8 @@ from .text import code_points, slices
 
 #: Where the vocabulary lies unless a caller says otherwise: a file, named by this variable of the driver's environment or the usual place.
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-SLICE = 3 << 19
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 20
 
 
 def encode_column(column: pa.Array, v: lattice.Vocabulary) -> tuple[np.ndarray, np.ndarray]:

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from ..plans import lineage
 from ..plans.lineage import drop
 
-__all__ = ["BLOCK_BYTES", "block_of", "bucketed", "components", "cut", "dealt_blocks", "drop", "findable", "partitions", "shuffles_removed", "table", "with_hot_keys", "with_rank"]
+__all__ = ["BATCH_BYTES", "BLOCK_BYTES", "block_of", "bounded_batches", "bucketed", "components", "cut", "dealt_blocks", "drop", "findable", "partitions", "shuffles_removed", "table", "with_hot_keys", "with_rank"]
 
 #: Bytes of stored text that one group or one task of a text stage should hold.
 BLOCK_BYTES = 24 << 20
 #: Rows of one key that a task may hold in any case; more make the key a hot one if it also has a thousandth of all rows.
 HOT_ROWS = 250
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
 
 
 def findable(spark: SparkSession) -> None:
@@ -38,6 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers hold about ``BATCH_BYTES`` (from Spark 4.1 on), unless the session has a bound of its own.
+
+    Spark's bound is 64 MB; the executor holds a batch while it is filled and sent, and the worker while it is used. The setting stays,
+    since a plan runs after its operator has returned. It changes no result: operators cut or join batches themselves.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many partitions to deal ``df`` to: by the summed sizes of what it reads, without running it.
 

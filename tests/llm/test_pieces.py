@@ -4,6 +4,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -61,6 +62,26 @@ def test_windows_change_nothing(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(got, want))
 
 
+def test_chunks_are_hashed_in_windows(monkeypatch):
+    """Two million characters in short words are hashed in less than 16 MB besides; equal words have equal hashes in any window."""
+    rng = np.random.default_rng(3)
+    cuts = np.concatenate(([0], np.cumsum(rng.integers(1, 9, 450_000))))
+    cuts = cuts[cuts <= 2_000_000]
+    points = rng.integers(97, 100, cuts[-1]).astype(np.uint32)
+    tracemalloc.start()
+    hashes = lattice.chunk_hashes(points, cuts[:-1], cuts[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(points) > 1_900_000 and peak < 16 << 20, peak
+    text = points.astype(np.uint8).tobytes()
+    words = [text[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    assert len(set(words)) == len(set(hashes.tolist())) == len(set(zip(words, hashes.tolist())))
+    monkeypatch.setattr(lattice, "HASHED", 11)
+    lattice._powers.cache_clear()
+    assert np.array_equal(lattice.chunk_hashes(points[: cuts[2000]], cuts[:2000], cuts[1:2001]), hashes[:2000])
+    lattice._powers.cache_clear()
+
+
 @pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary file")
 def test_memory_of_a_long_run():
     """Four million characters without a space: encoded, decoded and scored in less than 400 MB."""

@@ -7,7 +7,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from deltaweave.llm import pieces, quality  # noqa: E402
+from deltaweave.llm import pieces, plan, quality  # noqa: E402
 
 from .helpers import docs, save, table  # noqa: E402
 from .test_lines import brute as brute_lines  # noqa: E402
@@ -79,3 +79,23 @@ def test_empty_table(spark, tmp_path):
     save(table(spark, []), tmp_path, "documents")
     save(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_batches_are_bounded(spark):
+    """A stage's rows go to Python workers in batches of a few MB; a session's own bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "repeat('some words ', 400) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    spark.conf.unset(name)
+    try:
+        assert corpus_pipeline.encode_stage(spark, df, "").count() == 3000
+        assert max(r.n for r in df.mapInArrow(sizes, "n long").collect()) < 2 * plan.BATCH_BYTES
+        spark.conf.set(name, "12345678")
+        corpus_pipeline.encode_stage(spark, df, "")
+        assert spark.conf.get(name) == "12345678"
+    finally:
+        spark.conf.unset(name)
