@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import dealt
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """(id, links): out-edges of a vertex as a sorted array of (end, weight)."""
@@ -29,9 +31,10 @@ def invert(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
 
 
-def symmetrise(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge once, with the least weight."""
-    return edges.select("src", "dst", "weight").union(invert(edges).select("src", "dst", "weight")).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+def symmetrise(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """Both directions of every edge once, with the least weight; a known number of ``rows`` bounds what a task groups."""
+    both = edges.select("src", "dst", "weight").union(invert(edges).select("src", "dst", "weight"))
+    return (both if rows is None else dealt(both, 2 * rows, "src", "dst")).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
 def normalise(edges: DataFrame, scale: float = 1.0) -> DataFrame:
