@@ -1,12 +1,27 @@
 """Work that must not grow with the number of reads, rounds or rows of one task."""
 
 from deltaweave.operators import adjacency as A
+from deltaweave.operators import fixpoint as P
 from deltaweave.plans import graphs as G
 from deltaweave.plans import lineage
 
 from .graphs import frame, random_edges
 
 
+def counted(spark, edges):
+    """The edges, and how many rows of them were made."""
+    made = spark.sparkContext.accumulator(0)
+    return frame(spark, edges).rdd.map(lambda r: (made.add(1), tuple(r))[1]).toDF("src long, dst long, weight double"), made
+
+
+def test_simrank_makes_its_edges_once(spark):
+    e = random_edges(6, 8, 20)
+    for work in (lambda x: P.simrank(x, rounds=3).count(), lambda x: P.pair_graph(x).count()):
+        edges, made = counted(spark, e)
+        work(edges)
+        assert made.value == len(e)
+
+
 def test_both_directions_are_grouped_in_parts_of_bounded_size(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(lineage, "PART_ROWS", 10)
     e = random_edges(9)
