@@ -1,11 +1,20 @@
 """Work that must not grow with the number of reads, rounds or rows of one task."""
 
+import pytest
+
+from deltaweave.functions import kernels as K
 from deltaweave.operators import adjacency as A
 from deltaweave.operators import fixpoint as P
 from deltaweave.plans import graphs as G
 from deltaweave.plans import lineage
 
-from .graphs import frame, random_edges
+from .graphs import frame, labels, random_edges, widest
+
+CHAIN = [(k, k + 1, 1.0) for k in range(40)]
+
+
+def values(df):
+    return {r.id: r.value for r in df.collect()}
 
 
 def counted(spark, edges):
@@ -14,6 +23,26 @@ def counted(spark, edges):
     return frame(spark, edges).rdd.map(lambda r: (made.add(1), tuple(r))[1]).toDF("src long, dst long, weight double"), made
 
 
+def cuts_of(monkeypatch, module):
+    seen, cut = [], module.cut
+
+    def noted(df, **metrics):
+        out, found = cut(df, **metrics)
+        seen.append(found)
+        return out, found
+
+    monkeypatch.setattr(module, "cut", noted)
+    return seen
+
+
+@pytest.mark.parametrize("spec", [K.shortest_path(0), K.pagerank()])
+def test_a_run_makes_its_edges_once(spark, spec):
+    e = random_edges(5)
+    edges, made = counted(spark, e)
+    P.run(spec, edges, stop=P.Stop(max_rounds=2))
+    assert made.value == len(e)
+
+
 def test_simrank_makes_its_edges_once(spark):
     e = random_edges(6, 8, 20)
     for work in (lambda x: P.simrank(x, rounds=3).count(), lambda x: P.pair_graph(x).count()):
@@ -22,6 +51,34 @@ def test_simrank_makes_its_edges_once(spark):
         assert made.value == len(e)
 
 
+def test_rounds_of_few_vertices_share_jobs(spark, monkeypatch):
+    seen = cuts_of(monkeypatch, P)
+    r = P.run(K.shortest_path(0), frame(spark, CHAIN))
+    assert r.rounds == 41 and values(r.state) == {k: float(k) for k in range(41)}
+    assert [m["round"] for m in r.metrics] == list(range(42)) and [m["pending"] for m in r.metrics] == [1] * 41 + [0]
+    assert len(seen) < 15
+
+
+def test_rounds_of_few_vertices_write_what_changed(spark, monkeypatch):
+    seen = cuts_of(monkeypatch, P)
+    P.run(K.shortest_path(0), frame(spark, CHAIN + [(k, 0, 1.0) for k in range(100, 600)]), stop=P.Stop(max_rounds=3))
+    assert seen[3]["rows"] == 4  # after the edges, the state and what was pending
+
+
+@pytest.mark.parametrize("spec, plain", [(K.widest_path(0), lambda e: widest(e, 0)), (K.max_label(), labels)])
+@pytest.mark.parametrize("few, share", [(50_000, 0.25), (5, 0.0)])
+def test_any_share_of_changed_vertices_gives_the_same(spark, monkeypatch, spec, plain, few, share):
+    monkeypatch.setattr(P, "LEAN", few)
+    monkeypatch.setattr(P, "LEAN_SHARE", share)
+    e = random_edges(8, 12, 24)
+    r = P.run(spec, frame(spark, e))
+    assert values(r.state) == plain(e)
+    monkeypatch.setattr(P, "LEAN", -1)
+    monkeypatch.setattr(P, "LEAN_SHARE", -1.0)
+    again = P.run(spec, frame(spark, e))
+    assert [{k: m[k] for k in again.metrics[0]} for m in r.metrics] == again.metrics and r.rounds == again.rounds
+
+
 def test_both_directions_are_grouped_in_parts_of_bounded_size(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(lineage, "PART_ROWS", 10)
     e = random_edges(9)
