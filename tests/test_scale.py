@@ -87,3 +87,16 @@ def test_both_directions_are_grouped_in_parts_of_bounded_size(spark, monkeypatch
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, A.symmetrise(frame(spark, e)).collect()))
     spark.range(95).selectExpr("id % 7 AS l_suppkey", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert G.supplies(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+
+
+def test_rules_on_the_same_rounds_work_them_once(spark, monkeypatch):
+    e, spec = random_edges(7, 10, 30), K.pagerank()
+    rules = [P.Stop("diff", 0.5), P.Stop("sum", 4.0), P.Stop("squares", 0.4), P.Stop(max_rounds=3)]
+    apart = [P.run(spec, frame(spark, e), stop=rule) for rule in rules]
+    held = P.prepare_edges(spec, frame(spark, e))
+    seen = cuts_of(monkeypatch, P)
+    together = [P.run(spec, held, stop=rule) for rule in rules]
+    assert len(seen) == 1 + max(r.rounds for r in apart) < sum(r.rounds for r in apart)
+    assert [(r.rounds, r.settled, len(r.metrics)) for r in together] == [(r.rounds, r.settled, len(r.metrics)) for r in apart]
+    for one, other in zip(together, apart, strict=True):
+        assert values(one.state) == pytest.approx(values(other.state))
