@@ -7,6 +7,7 @@ from deltaweave.operators import adjacency as A
 from deltaweave.operators import fixpoint as P
 from deltaweave.plans import graphs as G
 from deltaweave.plans import lineage
+from deltaweave.sources import generate
 
 from .graphs import frame, labels, random_edges, widest
 
@@ -100,3 +101,10 @@ def test_rules_on_the_same_rounds_work_them_once(spark, monkeypatch):
     assert [(r.rounds, r.settled, len(r.metrics)) for r in together] == [(r.rounds, r.settled, len(r.metrics)) for r in apart]
     for one, other in zip(together, apart, strict=True):
         assert values(one.state) == pytest.approx(values(other.state))
+
+
+def test_repeated_targets_go_without_a_table_of_all_edges(spark):
+    made = generate.random_graph(spark, 60, degree="uniform", seed=7, loops=True)
+    assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.src, r.dst) for r in made.collect()]
+    assert len(rows) == len(set(rows)) and all(0 <= x < 60 for r in rows for x in r)
